@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm import codec, langid, packing, quality, tokencount, windows
+from graphfold.llm import codec, langid, packing, quality, search, secrets, tokencount, urls, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op3_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all other vectors for each vector whose id is divisible by 50."""
+    vectors = search.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+#: The rules that come before the reputation.
+URL_RULES = (urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow"))
+
+
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged; a page's label is that of the document of its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.greatest((F.col("quality") == 0).cast("int"), (F.col("toxic") == 1).cast("int"))).alias("bad"))
+    return urls.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed id matrices."""
     import public_tokenizers
@@ -52,13 +68,18 @@ def op7_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return codec.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_counts, op5_packed_sequences, op6_quality_rules, op7_packed_windows, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pivot_search, op4_url_reputation, op5_packed_sequences, op6_quality_rules, op7_packed_windows, op9_secret_scan, op10_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {}
