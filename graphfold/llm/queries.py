@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm import codec, langid, packing, quality, search, secrets, tokencount, urls, windows
+from graphfold.llm import codec, langid, near, packing, quality, search, secrets, tokencount, urls, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op7_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     return secrets.report(table(spark, sf_dir, "documents"))
@@ -79,7 +84,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pivot_search, op4_url_reputation, op5_packed_sequences, op6_quality_rules, op7_packed_windows, op9_secret_scan, op10_bpe_round_trip)
+    f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pivot_search, op4_url_reputation, op5_packed_sequences, op6_quality_rules, op7_packed_windows, op8_near_duplicates, op9_secret_scan, op10_bpe_round_trip)
 }
 
 ORACLES: dict[str, str] = {}
