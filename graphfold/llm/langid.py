@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.llm.common import map_batches
-from graphfold.llm.lattice import MARK, PieceMatcher, backward, forward
+from graphfold.llm.lattice import MARK, WORDS_AT_ONCE, PieceMatcher, backward, forward
 from graphfold.llm.wordtable import NumberTable, slabs, split
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -91,7 +91,7 @@ def train(lang: list[str], words: list[str], counts: np.ndarray, languages: list
 class Scorer(NumberTable):
     """Log probabilities of texts under each language; those of white-space separated chunks are kept for reuse."""
 
-    def __init__(self, model: LanguageModel, keep: int = 500_000) -> None:
+    def __init__(self, model: LanguageModel, keep: int = 300_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
         self.model = model
         self.matcher = PieceMatcher(model.pieces)
@@ -100,10 +100,10 @@ class Scorer(NumberTable):
         """Score chunks that are new: each run of letters in them is a word."""
         runs = [LETTERS.findall(c) for c in chunks]
         words = list(dict.fromkeys(w for r in runs for w in r))
-        score = np.zeros((0, len(self.model.languages)))
-        if words:
-            lattice = self.matcher.lattice([MARK + w for w in words])
-            score = forward(lattice, self.model.log_p, self.model.log_unknown)[lattice.last]
+        score = np.zeros((len(words), len(self.model.languages)))
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            lattice = self.matcher.lattice([MARK + w for w in words[i : i + WORDS_AT_ONCE]])
+            score[i : i + WORDS_AT_ONCE] = forward(lattice, self.model.log_p, self.model.log_unknown)[lattice.last]
         at = {w: i for i, w in enumerate(words)}
         width = np.fromiter(map(len, runs), np.int64, len(runs))
         flat = np.fromiter((at[w] for r in runs for w in r), np.int64, int(width.sum()))

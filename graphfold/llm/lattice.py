@@ -9,6 +9,8 @@ import numpy as np
 
 #: Stands before each word, as in the vocabularies.
 MARK = "▁"
+#: A lattice of so many words takes some tens of MB.
+WORDS_AT_ONCE = 16_384
 
 
 @dataclass
