@@ -5,6 +5,541 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphfold.functions import sequences as sf
+from graphfold.operators import cluster, components, context, evaluate, graph, match, merge, partition, simjoin, store
+from graphfold.plans import fixtures as fx
+from graphfold.plans.fixtures import Tables, sql
+from graphfold.plans.lineage import cut
+from graphfold.sources import files, gml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+HIT_ORDER = [F.desc, "ident_pct"], [F.desc, "len_sim"], [F.asc, "evalue"], *([F.asc, c] for c in ("q", "t", "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
+HIT_ORDER_SQL = "ident_pct DESC, len_sim DESC, evalue, q, t, l_orderkey, l_linenumber, l_extendedprice, l_shipdate"
+STRICT = "ident_pct >= 98 AND len_sim >= 0.95"
+#: Added to a target's number, so that the numbers of parts and of suppliers don't meet.
+TARGETS = 1_000_000_000
+
+
+def query(oracle: str | None = None):
+    """Register a function of Tables under its name, with the SQL that gives its rows."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def order() -> list:
+    return [f(c) for f, c in HIT_ORDER]
+
+
+def strict_hits(t: Tables) -> DataFrame:
+    return match.filter_hits(fx.hits(t), F.col("ident_pct"), 98, 0.95)
+
+
+def node_map(t: Tables) -> DataFrame:
+    """(old, new): parts and the suppliers that they have as their best hits."""
+    best = match.best_hits(strict_hits(t), "q", "t", order())
+    return best.select(F.col("q").alias("old"), (F.col("t") + TARGETS).alias("new"))
+
+
+BEST = f"s1 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {HIT_ORDER_SQL}) AS r1 FROM f_hit WHERE {STRICT}), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY {HIT_ORDER_SQL}) AS r2 FROM s1 WHERE r1 = 1) WHERE r2 = 1), node_map AS (SELECT q AS old, t + {TARGETS} AS new FROM best)"
+RELABELLED = "moved AS (SELECT coalesce(a.new, u) AS u, coalesce(b.new, v) AS v FROM f_edge2 LEFT JOIN node_map a ON u = a.old LEFT JOIN node_map b ON v = b.old), merged AS (SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM moved WHERE u <> v)"
+
+
+@query(sql("SELECT node, count(*) AS degree FROM (SELECT u AS node FROM merged UNION ALL SELECT v FROM merged) GROUP BY node", "f_hit", "f_edge2", more=f"{BEST}, {RELABELLED}"))
+def flagship_merge_step(t: Tables) -> DataFrame:
+    moved = graph.relabel(fx.edges2(t).select("u", "v"), cut(node_map(t), "map"), ["u", "v"])
+    return graph.degrees(graph.canonical(moved).where("u <> v").distinct())
+
+
+@query(sql(f"SELECT q, t, ident_pct, qlen, tlen, round(len_sim, 6) AS len_sim FROM f_hit WHERE {STRICT}", "f_hit"))
+def hit_filter_strict(t: Tables) -> DataFrame:
+    return strict_hits(t).select("q", "t", "ident_pct", "qlen", "tlen", F.round("len_sim", 6).alias("len_sim"))
+
+
+@query(sql("SELECT q, t, ident_pct, qlen, tlen, round(len_sim, 6) AS len_sim FROM f_hit WHERE ident_pct >= 70 AND len_sim >= 0.95 * 0.7 AND q <> t", "f_hit"))
+def hit_filter_family(t: Tables) -> DataFrame:
+    found = match.filter_hits(fx.hits(t).where("q <> t"), F.col("ident_pct"), 70, 0.95 * 0.7)
+    return found.select("q", "t", "ident_pct", "qlen", "tlen", F.round("len_sim", 6).alias("len_sim"))
+
+
+@query(sql("SELECT q, t, ident_pct, round(len_sim, 6) AS len_sim, evalue FROM best", "f_hit", more=BEST))
+def besthit_two_stage(t: Tables) -> DataFrame:
+    return match.best_hits(strict_hits(t), "q", "t", order()).select("q", "t", "ident_pct", F.round("len_sim", 6).alias("len_sim"), "evalue")
+
+
+@query(sql(f"SELECT count(*) AS n_hits, count(*) - count(DISTINCT q) AS repeated_queries, count(*) - count(DISTINCT t) AS repeated_targets FROM f_hit WHERE {STRICT}", "f_hit"))
+def hit_duplicate_audit(t: Tables) -> DataFrame:
+    n = F.count("*")
+    return strict_hits(t).agg(n.alias("n_hits"), (n - F.countDistinct("q")).alias("repeated_queries"), (n - F.countDistinct("t")).alias("repeated_targets"))
+
+
+@query(sql("SELECT least(q, t) AS x, greatest(q, t) AS y, max(ident_pct) AS ident_pct FROM f_hit WHERE q <> t GROUP BY 1, 2", "f_hit"))
+def pair_identity_max(t: Tables) -> DataFrame:
+    return match.unordered_best(fx.hits(t), "q", "t", "ident_pct")
+
+
+@query(sql("SELECT coalesce(new, node_id) AS node_id, count(DISTINCT member) AS size FROM f_support LEFT JOIN node_map ON node_id = old GROUP BY 1", "f_hit", "f_support", more=BEST))
+def node_relabel_map(t: Tables) -> DataFrame:
+    return graph.relabel(fx.support(t), node_map(t), ["node_id"]).groupBy("node_id").agg(F.countDistinct("member").alias("size"))
+
+
+@query("SELECT p_name AS new, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def relabel_collision_check(t: Tables) -> DataFrame:
+    return graph.relabel_collisions(t.part.select(F.col("p_partkey").alias("old"), F.col("p_name").alias("new")))
+
+
+@query(sql("SELECT DISTINCT graph_ord, node_id FROM f_support a WHERE graph_ord > 1 AND NOT EXISTS (SELECT 1 FROM f_support b WHERE b.graph_ord = 1 AND b.node_id = a.node_id)", "f_support"))
+def new_nodes_anti(t: Tables) -> DataFrame:
+    nodes = fx.support(t).select("graph_ord", "node_id").distinct()
+    return nodes.where("graph_ord > 1").join(nodes.where("graph_ord = 1").select("node_id"), "node_id", "left_anti")
+
+
+@query(sql("SELECT DISTINCT graph_ord, node_id FROM f_support a WHERE graph_ord > 1 AND EXISTS (SELECT 1 FROM f_support b WHERE b.graph_ord = 1 AND b.node_id = a.node_id)", "f_support"))
+def matched_nodes_semi(t: Tables) -> DataFrame:
+    nodes = fx.support(t).select("graph_ord", "node_id").distinct()
+    return nodes.where("graph_ord > 1").join(nodes.where("graph_ord = 1").select("node_id"), "node_id", "left_semi")
+
+
+@query(sql("SELECT node_id, count(DISTINCT member) AS size, min(graph_ord) AS first_graph, min(member) AS first_member FROM f_support GROUP BY node_id", "f_support"))
+def node_merge_members(t: Tables) -> DataFrame:
+    s = fx.support(t)
+    return merge.merge_members(s).groupBy("node_id").agg(F.count("*").alias("size"), F.min("member").alias("first_member")).join(s.groupBy("node_id").agg(F.min("graph_ord").alias("first_graph")), "node_id")
+
+
+PER_GRAPH = "g AS (SELECT graph_ord, node_id, count(*) AS n, min(member) AS lead FROM f_support GROUP BY 1, 2)"
+
+
+@query(sql("SELECT node_id, min(graph_ord) AS first_iteration, max(graph_ord) AS last_iteration, arg_min(n, graph_ord) AS n, arg_min(lead, graph_ord) AS lead FROM g GROUP BY node_id", "f_support", more=PER_GRAPH))
+def node_merge_attrs_first(t: Tables) -> DataFrame:
+    per_graph = fx.support(t).groupBy("graph_ord", "node_id").agg(F.count("*").alias("n"), F.min("member").alias("lead"))
+    return merge.first_attributes(per_graph, ["n", "lead"])
+
+
+@query("SELECT p_brand AS node_id, p_size AS length, count(*) AS n FROM part GROUP BY 1, 2")
+def node_length_histogram(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.col("p_brand").alias("node_id"), F.col("p_size").alias("length")).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT u, v, count(DISTINCT member) AS size FROM f_edge GROUP BY 1, 2", "f_edge"))
+def edge_canonical_merge(t: Tables) -> DataFrame:
+    return graph.merge_edges(fx.edges(t)).groupBy("u", "v").agg(F.count("*").alias("size"))
+
+
+@query(sql("SELECT graph_ord, in_first, count(*) AS n FROM (SELECT DISTINCT a.graph_ord, a.u, a.v, EXISTS (SELECT 1 FROM f_edge b WHERE b.graph_ord = 1 AND b.u = a.u AND b.v = a.v) AS in_first FROM f_edge a WHERE a.graph_ord > 1) GROUP BY 1, 2", "f_edge"))
+def edge_new_vs_existing(t: Tables) -> DataFrame:
+    e = fx.edges(t).select("graph_ord", "u", "v").distinct()
+    first = e.where("graph_ord = 1").select("u", "v", F.lit(True).alias("f"))
+    return e.where("graph_ord > 1").join(first, ["u", "v"], "left").groupBy("graph_ord", F.coalesce("f", F.lit(False)).alias("in_first")).agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT node, count(*) AS degree FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node", "f_edge", more="e AS (SELECT DISTINCT u, v FROM f_edge)"))
+def node_degree(t: Tables) -> DataFrame:
+    return graph.degrees(fx.edges(t).select("u", "v").distinct())
+
+
+ADJACENT = "adj AS MATERIALIZED (SELECT u AS node, v AS member FROM f_edge2 UNION SELECT v, u FROM f_edge2)"
+BALL2 = "ball2 AS MATERIALIZED (SELECT node, member FROM (SELECT * FROM adj UNION SELECT a.node, b.member FROM adj a JOIN adj b ON a.member = b.node) WHERE node <> member)"
+#: From balls without their centre: a path that goes through the centre adds nothing new.
+BALL3 = "ball3 AS MATERIALIZED (SELECT node, member FROM (SELECT * FROM ball2 UNION SELECT a.node, b.member FROM ball2 a JOIN adj b ON a.member = b.node) WHERE node <> member)"
+
+
+@query(sql("SELECT node, member AS neighbour FROM adj", "f_edge2", more=ADJACENT))
+def neighbours_depth1(t: Tables) -> DataFrame:
+    return graph.neighbours(fx.edges2(t))
+
+
+@query(sql("SELECT node, count(*) AS n, min(member) AS least, max(member) AS most FROM ball2 GROUP BY node", "f_edge2", more=f"{ADJACENT}, {BALL2}"))
+def ball_depth2(t: Tables) -> DataFrame:
+    return graph.ball(cut(fx.edges2(t), "edges"), 2).groupBy("node").agg(F.count("*").alias("n"), F.min("member").alias("least"), F.max("member").alias("most"))
+
+
+@query(sql("SELECT node, count(*) AS n, min(member) AS least, max(member) AS most FROM ball3 GROUP BY node", "f_edge2", more=f"{ADJACENT}, {BALL2}, {BALL3}"))
+def ball_depth3(t: Tables) -> DataFrame:
+    return graph.ball(cut(fx.edges2(t), "edges"), 3).groupBy("node").agg(F.count("*").alias("n"), F.min("member").alias("least"), F.max("member").alias("most"))
+
+
+SYMMETRIC = "sym AS MATERIALIZED (SELECT x, y, ident FROM f_ident UNION ALL SELECT y, x, ident FROM f_ident)"
+
+
+def score_sql(name: str, pairs: str, ball: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT p.x AS a, p.y AS b, max(i.ident) AS s FROM {pairs} p JOIN {ball} ba ON ba.node = p.x JOIN sym i ON i.x = ba.member JOIN {ball} bb ON bb.node = p.y AND bb.member = i.y GROUP BY 1, 2)"
+
+
+def pairs_of(t: Tables) -> DataFrame:
+    return fx.identities(t).select(F.col("x").alias("a"), F.col("y").alias("b"), "ident")
+
+
+@query(sql("SELECT x AS a, y AS b, f_ident.ident, coalesce(s, 0) AS s1 FROM f_ident LEFT JOIN c1 ON a = x AND b = y", "f_edge2", "f_ident", more=f"{ADJACENT}, {SYMMETRIC}, {score_sql('c1', 'f_ident', 'adj')}"))
+def context_score_s1(t: Tables) -> DataFrame:
+    balls = graph.neighbours(cut(fx.edges2(t), "edges")).withColumnRenamed("neighbour", "member")
+    return context.context_score(pairs_of(t), balls, fx.identities(t)).withColumnRenamed("score", "s1")
+
+
+LADDER = (
+    f"{ADJACENT}, {BALL2}, {BALL3}, {SYMMETRIC}, {score_sql('c1', 'f_ident', 'adj')}, "
+    "l1 AS MATERIALIZED (SELECT x, y, f_ident.ident, coalesce(s, 0) AS s1 FROM f_ident LEFT JOIN c1 ON a = x AND b = y), "
+    "p2 AS MATERIALIZED (SELECT x, y FROM l1 WHERE s1 < 90), "
+    f"{score_sql('c2', 'p2', 'ball2')}, "
+    "l2 AS MATERIALIZED (SELECT x, y, l1.ident, s1, CASE WHEN s1 < 90 THEN coalesce(s, 0) ELSE s1 END AS s2 FROM l1 LEFT JOIN c2 ON a = x AND b = y), "
+    "p3 AS MATERIALIZED (SELECT x, y FROM l2 WHERE s2 < 90), "
+    f"{score_sql('c3', 'p3', 'ball3')}, "
+    "ladder AS MATERIALIZED (SELECT x AS a, y AS b, l2.ident, s1, s2, CASE WHEN s2 < 90 THEN coalesce(s, 0) ELSE s2 END AS s3 FROM l2 LEFT JOIN c3 ON a = x AND b = y)"
+)
+
+
+def ladder(t: Tables) -> DataFrame:
+    return context.context_ladder(cut(pairs_of(t), "pairs"), cut(fx.edges2(t), "edges"), cut(fx.identities(t), "identities"), enough=90)
+
+
+@query(sql("SELECT * FROM ladder", "f_edge2", "f_ident", more=LADDER))
+def context_score_ladder(t: Tables) -> DataFrame:
+    return ladder(t).select("a", "b", "ident", "s1", "s2", "s3")
+
+
+MEMBERS = "mem AS MATERIALIZED (SELECT DISTINCT node_id, member FROM f_support)"
+ACCEPTED = "SELECT a, b, l.ident, s1 FROM (SELECT x AS a, y AS b, f_ident.ident, coalesce(s, 0) AS s1 FROM f_ident LEFT JOIN c1 ON a = x AND b = y) l WHERE s1 >= 70 AND NOT EXISTS (SELECT 1 FROM mem p JOIN mem q ON p.member = q.member WHERE p.node_id = l.a AND q.node_id = l.b)"
+
+
+@query(sql(ACCEPTED, "f_edge2", "f_ident", "f_support", more=f"{ADJACENT}, {SYMMETRIC}, {MEMBERS}, {score_sql('c1', 'f_ident', 'adj')}"))
+def accepted_pairs(t: Tables) -> DataFrame:
+    balls = graph.neighbours(cut(fx.edges2(t), "edges")).withColumnRenamed("neighbour", "member")
+    scored = context.context_score(pairs_of(t), balls, fx.identities(t)).withColumnRenamed("score", "s1")
+    return match.disjoint(context.accepted(cut(scored, "scored"), 70, 70), cut(merge.merge_members(fx.support(t)), "members"), "a", "b").select("a", "b", "ident", "s1")
+
+
+#: A matching of the pairs of hits at 98 % or more needs fewer rounds than this.
+ROUNDS = 24
+
+
+def greedy_sql() -> str:
+    steps = [f"g0 AS MATERIALIZED (SELECT q, t, max(ident_pct) AS ident_pct, (100 - max(ident_pct)) * {10**14} + q * {10**7} + t AS k FROM f_hit WHERE ident_pct >= 98 GROUP BY q, t)"]
+    for i in range(ROUNDS):
+        steps.append(f"t{i} AS MATERIALIZED (SELECT q, t, ident_pct FROM (SELECT *, min(k) OVER (PARTITION BY q) AS kq, min(k) OVER (PARTITION BY t) AS kt FROM g{i}) WHERE k = kq AND k = kt)")
+        steps.append(f"g{i + 1} AS MATERIALIZED (SELECT * FROM g{i} WHERE q NOT IN (SELECT q FROM t{i}) AND t NOT IN (SELECT t FROM t{i}))")
+    return ", ".join(steps)
+
+
+@query(sql(" UNION ALL ".join(f"SELECT * FROM t{i}" for i in range(ROUNDS)), "f_hit", more=greedy_sql()))
+def greedy_matching(t: Tables) -> DataFrame:
+    pairs = fx.hits(t).where("ident_pct >= 98").groupBy("q", "t").agg(F.max("ident_pct").alias("ident_pct"))
+    return match.greedy_matching(pairs, "q", "t", F.struct(-F.col("ident_pct"), "q", "t"))
+
+
+@query(sql("SELECT x AS a, y AS b, CASE WHEN node_id IS NULL THEN x ELSE y END AS keep, CASE WHEN node_id IS NULL THEN y ELSE x END AS merged FROM f_ident LEFT JOIN (SELECT DISTINCT node_id FROM f_support WHERE graph_ord = 1) ON node_id = y", "f_ident", "f_support"))
+def pair_orientation(t: Tables) -> DataFrame:
+    base = fx.support(t).where("graph_ord = 1").select(F.col("node_id").alias("b"), F.lit(True).alias("is_base")).distinct()
+    return match.orient(pairs_of(t).join(base, "b", "left"), "a", "b", F.coalesce("is_base", F.lit(False))).select("a", "b", "keep", "merged")
+
+
+#: Parts of one brand, type and size become the first of them.
+SAME = "same AS (SELECT p_partkey AS old, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS new FROM part)"
+
+
+def same_parts(t: Tables) -> DataFrame:
+    first = t.part.groupBy("p_brand", "p_type", "p_size").agg(F.min("p_partkey").alias("new"))
+    return t.part.join(first, ["p_brand", "p_type", "p_size"]).select(F.col("p_partkey").alias("old"), "new")
+
+
+@query(sql("SELECT least(a.new, b.new) AS u, greatest(a.new, b.new) AS v, count(DISTINCT member) AS size FROM f_edge JOIN same a ON u = a.old JOIN same b ON v = b.old WHERE a.new <> b.new GROUP BY 1, 2", "f_edge", more=SAME))
+def contract_pairs_edges(t: Tables) -> DataFrame:
+    return graph.contract(fx.edges(t), same_parts(t)).groupBy("u", "v").agg(F.count("*").alias("size"))
+
+
+@query(sql("SELECT new AS node_id, count(DISTINCT member) AS size FROM f_support JOIN same ON node_id = old GROUP BY 1", "f_support", more=SAME))
+def contract_pairs_nodes(t: Tables) -> DataFrame:
+    return merge.merge_members(graph.relabel(fx.support(t), same_parts(t), ["node_id"])).groupBy("node_id").agg(F.count("*").alias("size"))
+
+
+@query(sql("SELECT x AS a, y AS b, ident FROM f_ident WHERE NOT EXISTS (SELECT 1 FROM mem p JOIN mem q ON p.member = q.member WHERE p.node_id = x AND q.node_id = y)", "f_ident", "f_support", more=MEMBERS))
+def members_disjoint_pairs(t: Tables) -> DataFrame:
+    return match.disjoint(pairs_of(t), cut(merge.merge_members(fx.support(t)), "members"), "a", "b").select("a", "b", "ident")
+
+
+def node_delta(t: Tables, graphs: str) -> DataFrame:
+    """One delta of nodes; a size of one, and a note on an even lead, stand for values that are not known."""
+    g = fx.support(t).where(graphs).groupBy("node_id").agg(F.count("*").alias("n"), F.min("member").alias("lead"), F.max("graph_ord").alias("last_iteration"))
+    return g.select("node_id", F.when(F.col("n") > 1, F.col("n")).alias("size"), F.when(F.col("lead") % 2 == 1, F.concat(F.lit("m"), F.col("lead").cast("string"))).otherwise("  ").alias("note"), (F.col("lead") % 3 == 0).cast("int").alias("flag"), "last_iteration")
+
+
+def node_delta_sql(name: str, graphs: str) -> str:
+    return f"{name} AS (SELECT node_id, CASE WHEN n > 1 THEN n END AS size, CASE WHEN lead % 2 = 1 THEN 'm' || lead END AS note, CAST(lead % 3 = 0 AS INT) AS flag, last_iteration FROM (SELECT node_id, count(*) AS n, min(member) AS lead, max(graph_ord) AS last_iteration FROM f_support WHERE {graphs} GROUP BY node_id))"
+
+
+@query(sql("SELECT node_id, coalesce(d.size, b.size) AS size, coalesce(d.note, b.note) AS note, greatest(d.flag, b.flag) AS flag, greatest(d.last_iteration, b.last_iteration) AS last_iteration FROM b FULL JOIN (SELECT * FROM d WHERE size IS NOT NULL OR note IS NOT NULL) d USING (node_id)", "f_support", more=f"{node_delta_sql('b', 'graph_ord <= 2')}, {node_delta_sql('d', 'graph_ord > 2')}"))
+def upsert_nodes_coalesce(t: Tables) -> DataFrame:
+    base, delta = (store.placeholders_to_null(node_delta(t, g), ["note"]) for g in ("graph_ord <= 2", "graph_ord > 2"))
+    return store.coalesce_upsert(base, store.with_payload(delta, ["size", "note"]), ["node_id"], ("last_iteration",), ("flag",))
+
+
+@query("SELECT p_brand AS node_id, p_size AS length, CAST(sum(n) AS BIGINT) AS n FROM (SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size % 2 = 0 GROUP BY 1, 2 UNION ALL SELECT p_brand, p_size // 2 * 2, count(*) FROM part WHERE p_size % 2 = 1 GROUP BY 1, 2) GROUP BY 1, 2")
+def upsert_lengths_additive(t: Tables) -> DataFrame:
+    lengths = t.part.select(F.col("p_brand").alias("node_id"), "p_size", (F.floor(F.col("p_size") / 2) * 2).cast("int").alias("length"))
+    base, delta = (lengths.where(f"p_size % 2 = {i}").groupBy("node_id", "length").agg(F.count("*").alias("n")) for i in (0, 1))
+    return store.additive_upsert(base, delta, ["node_id", "length"], "n")
+
+
+@query("SELECT doc_id AS node_id, md5(coalesce(d.dna, b.dna)) AS dna, md5(coalesce(d.protein, b.protein)) AS protein FROM (SELECT doc_id, nullif(trim(text), '') AS dna, source AS protein FROM documents) b FULL JOIN (SELECT doc_id, CASE WHEN quality = 1 THEN 'q' || doc_id END AS dna, CASE WHEN toxic = 1 THEN 't' || doc_id END AS protein FROM labels WHERE quality = 1 OR toxic = 1) d USING (doc_id)")
+def upsert_sequences(t: Tables) -> DataFrame:
+    base = t.documents.select(F.col("doc_id").alias("node_id"), F.nullif(F.trim("text"), F.lit("")).alias("dna"), F.col("source").alias("protein"))
+    named = lambda flag, letter: F.when(F.col(flag) == 1, F.concat(F.lit(letter), F.col("doc_id").cast("string")))
+    delta = t.labels.select(F.col("doc_id").alias("node_id"), named("quality", "q").alias("dna"), named("toxic", "t").alias("protein"))
+    merged = store.coalesce_upsert(base, store.with_payload(delta, ["dna", "protein"]), ["node_id"])
+    return merged.select("node_id", F.md5("dna").alias("dna"), F.md5("protein").alias("protein"))
+
+
+def edge_delta_sql(name: str, graphs: str) -> str:
+    return f"{name} AS (SELECT u, v, CASE WHEN count(*) > 1 THEN count(*) END AS size, max(graph_ord) AS last_iteration FROM f_edge WHERE {graphs} GROUP BY u, v)"
+
+
+@query(sql("SELECT u, v, coalesce(d.size, b.size) AS size, greatest(d.last_iteration, b.last_iteration) AS last_iteration FROM b FULL JOIN (SELECT * FROM d WHERE size IS NOT NULL) d USING (u, v)", "f_edge", more=f"{edge_delta_sql('b', 'graph_ord <= 2')}, {edge_delta_sql('d', 'graph_ord > 2')}"))
+def upsert_edges_guarded(t: Tables) -> DataFrame:
+    base, delta = (fx.edges(t).where(g).groupBy("u", "v").agg(F.when(F.count("*") > 1, F.count("*")).alias("size"), F.max("graph_ord").alias("last_iteration")) for g in ("graph_ord <= 2", "graph_ord > 2"))
+    return store.coalesce_upsert(base, store.with_payload(delta, ["size"]), ["u", "v"], ("last_iteration",))
+
+
+@query(sql("SELECT u, v, count(*) AS n FROM (SELECT u, v, member FROM f_edge WHERE graph_ord <= 3 UNION SELECT u, v, member FROM f_edge WHERE graph_ord >= 3) GROUP BY u, v", "f_edge"))
+def insert_ignore_edge_members(t: Tables) -> DataFrame:
+    e = fx.edges(t)
+    both = store.insert_or_ignore(e.where("graph_ord <= 3").select("u", "v", "member"), e.where("graph_ord >= 3").select("u", "v", "member"))
+    return both.groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+@query(sql("SELECT node_id, member, count(*) AS n FROM (SELECT node_id, member FROM f_support WHERE graph_ord <= 3 UNION ALL SELECT node_id, member FROM f_support WHERE graph_ord >= 3) GROUP BY 1, 2 HAVING count(*) > 1", "f_support"))
+def strict_insert_violations(t: Tables) -> DataFrame:
+    s = fx.support(t)
+    return store.insert_violations(s.where("graph_ord <= 3"), s.where("graph_ord >= 3"), ["node_id", "member"])
+
+
+@query(sql("SELECT member, count(DISTINCT node_id) AS n_nodes, min(node_id) AS first_node FROM f_support GROUP BY member", "f_support"))
+def lookup_by_member(t: Tables) -> DataFrame:
+    return merge.merge_members(fx.support(t)).groupBy("member").agg(F.count("*").alias("n_nodes"), F.min("node_id").alias("first_node"))
+
+
+@query("SELECT l_orderkey || '_' || l_linenumber AS seqid, count(DISTINCT l_partkey) AS n_nodes, min(l_partkey) AS first_node FROM lineitem GROUP BY 1")
+def lookup_by_seq(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("seqid"), "l_partkey").distinct()
+    return rows.groupBy("seqid").agg(F.count("*").alias("n_nodes"), F.min("l_partkey").alias("first_node"))
+
+
+@query("SELECT event_id, coalesce(c_name, 'error') AS user_id FROM events LEFT JOIN customer ON user_id = c_custkey")
+def id_map_left_default(t: Tables) -> DataFrame:
+    return evaluate.map_ids(t.events.select("event_id", "user_id"), t.customer.select(F.col("c_custkey").alias("old"), F.col("c_name").alias("new")), "user_id")
+
+
+@query("SELECT clustering_id, max(truth) AS truth FROM (SELECT source || '_' || lang AS clustering_id, quality AS truth FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL) GROUP BY 1")
+def gene_match_inner(t: Tables) -> DataFrame:
+    genes = t.documents.select("doc_id", F.concat_ws("_", "source", "lang").alias("clustering_id"))
+    found = genes.join(t.labels.select("doc_id", F.col("quality").alias("truth")), "doc_id", "left").na.drop()
+    return found.groupBy("clustering_id").agg(F.max_by("truth", F.struct("truth", "doc_id")).alias("truth"))
+
+
+@query(sql("SELECT a.cluster AS ca, b.cluster AS cb, count(*) AS n FROM f_clu_a a JOIN f_clu_b b USING (item) GROUP BY 1, 2", "f_clu_a", "f_clu_b"))
+def cluster_contingency(t: Tables) -> DataFrame:
+    return evaluate.contingency(*fx.clusterings(t))
+
+
+MARGINS = "n AS MATERIALIZED (SELECT a.cluster AS ca, b.cluster AS cb, count(*) AS n FROM f_clu_a a JOIN f_clu_b b USING (item) GROUP BY 1, 2), ra AS MATERIALIZED (SELECT ca, CAST(sum(n) AS DOUBLE) AS n FROM n GROUP BY 1), rb AS MATERIALIZED (SELECT cb, CAST(sum(n) AS DOUBLE) AS n FROM n GROUP BY 1)"
+RAND = "k AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM n) AS s, (SELECT sum(n * (n - 1) / 2) FROM ra) AS sa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS sb, (SELECT sum(n) * (sum(n) - 1) / 2.0 FROM n) AS t)"
+
+
+@query(sql("SELECT round((t + 2 * s - sa - sb) / t, 9) AS rand_index, round((s - sa * sb / t) / ((sa + sb) / 2 - sa * sb / t), 9) AS adjusted_rand FROM k", "f_clu_a", "f_clu_b", more=f"{MARGINS}, {RAND}"))
+def cluster_rand_ari(t: Tables) -> DataFrame:
+    return evaluate.rand_scores(cut(evaluate.contingency(*fx.clusterings(t)), "contingency")).select(F.round("rand_index", 9).alias("rand_index"), F.round("adjusted_rand", 9).alias("adjusted_rand"))
+
+
+INFORMATION = (
+    "tot AS (SELECT CAST(sum(n) AS DOUBLE) AS t FROM n), "
+    "mi AS (SELECT sum(n.n / t * ln(t * n.n / (ra.n * rb.n))) AS mi FROM n JOIN ra USING (ca) JOIN rb USING (cb), tot), "
+    "ent AS (SELECT (SELECT -sum(n / t * ln(n / t)) FROM ra, tot) AS ha, (SELECT -sum(n / t * ln(n / t)) FROM rb, tot) AS hb), "
+    "cell AS (SELECT a, b, t, CAST(unnest(generate_series(CAST(greatest(1, a + b - t) AS BIGINT), CAST(least(a, b) AS BIGINT))) AS DOUBLE) AS k FROM (SELECT ra.n AS a, rb.n AS b, t FROM ra, rb, tot)), "
+    "emi AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(t - a - b + k + 1))) AS emi FROM cell)"
+)
+
+
+@query(sql("SELECT round(mi, 6) AS mutual_information, round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS adjusted_mutual_information FROM mi, emi, ent", "f_clu_a", "f_clu_b", more=f"{MARGINS}, {INFORMATION}"))
+def cluster_mi_ami(t: Tables) -> DataFrame:
+    return evaluate.information_scores(cut(evaluate.contingency(*fx.clusterings(t)), "contingency")).select(F.round("mutual_information", 6).alias("mutual_information"), F.round("adjusted_mutual_information", 6).alias("adjusted_mutual_information"))
+
+
+@query("SELECT count(*) FILTER (a.i IS NOT NULL AND b.i IS NOT NULL) AS n_shared, count(*) FILTER (b.i IS NULL) AS n_left, count(*) FILTER (a.i IS NULL) AS n_right FROM (SELECT DISTINCT doc_id AS i FROM documents) a FULL JOIN (SELECT DISTINCT doc_id AS i FROM labels) b ON a.i = b.i")
+def cluster_id_overlap(t: Tables) -> DataFrame:
+    return evaluate.id_overlap(t.documents.select(F.col("doc_id").alias("item")), t.labels.select(F.col("doc_id").alias("item")))
+
+
+#: Long k-mers, for whole texts share short ones by chance.
+K = 40
+
+
+@query(sql("SELECT query, target, n_shared, round(1 - levenshtein(a.seq, b.seq) / CAST(greatest(length(a.seq), length(b.seq)) AS DOUBLE), 6) AS ident FROM shared JOIN f_seq a ON a.id = query JOIN f_seq b ON b.id = target WHERE 1 - levenshtein(a.seq, b.seq) / CAST(greatest(length(a.seq), length(b.seq)) AS DOUBLE) >= 0.7", "f_seq", more=f"gram AS MATERIALIZED (SELECT DISTINCT id, n, hash(substr(seq, i, {K})) AS g FROM (SELECT id, seq, length(seq) AS n, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM f_seq)), shared AS MATERIALIZED (SELECT a.id AS query, b.id AS target, count(*) AS n_shared FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING count(*) >= 8)"))
+def sim_join_text(t: Tables) -> DataFrame:
+    return simjoin.similar(cut(fx.sequences(t), "sequences"), k=K).withColumn("ident", F.round("ident", 6))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 6) AS ident FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) >= 0.6")
+def pairwise_identity_in_block(t: Tables) -> DataFrame:
+    return simjoin.within_blocks(blocks(t), "block", 0.6).withColumn("ident", F.round("ident", 6))
+
+
+def blocks(t: Tables) -> DataFrame:
+    return t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("block"), F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
+
+
+@query("SELECT doc_id, md5(arg_max(line, struct_pack(a := length(line), b := -i))) AS longest FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)) GROUP BY doc_id")
+def longest_sequence(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.md5(sf.longest(F.split("text", "\n"))).alias("longest"))
+
+
+@query("SELECT doc_id, md5(replace(regexp_replace(text, '\\*+$', ''), '*', 'J')) AS masked, CAST(doc_id + 3 AS VARCHAR) || '_' || source || '_' || lang AS seqid FROM documents")
+def seq_normalise(t: Tables) -> DataFrame:
+    raw = F.concat(F.lit("'00"), F.col("doc_id").cast("string"), F.lit("'_"), F.col("source"), F.lit("_"), F.col("lang"))
+    return t.documents.select("doc_id", F.md5(sf.mask_stops(F.col("text"))).alias("masked"), sf.normalise_sequence_id(raw, 3).alias("seqid"))
+
+
+CODON_SQL = "MAP {" + ", ".join(f"'{c}': '{a}'" for c, a in sf.CODONS.items()) + "}"
+
+
+@query(sql(f"SELECT id, md5(array_to_string(list_transform(generate_series(1, length(seq) - 2, 3), lambda i: coalesce(({CODON_SQL})[substr(seq, i, 3)], 'X')), '')) AS protein FROM f_dna", "f_seq", "f_dna"))
+def translate_codons(t: Tables) -> DataFrame:
+    return fx.dna(t).select("id", F.md5(sf.translate(F.col("seq"))).alias("protein"))
+
+
+@query(sql("SELECT id, md5(reverse(translate(seq, 'ACGTN', 'TGCAN'))) AS reversed FROM f_dna", "f_seq", "f_dna"))
+def reverse_complement(t: Tables) -> DataFrame:
+    return fx.dna(t).select("id", F.md5(sf.reverse_complement(F.col("seq"))).alias("reversed"))
+
+
+@query()
+def infix_identity(t: Tables) -> DataFrame:
+    return simjoin.within_blocks(blocks(t), "block", 0.5, infix=True, dna=False).withColumn("ident", F.round("ident", 6))
+
+
+@query(sql("SELECT node, min(r) AS component FROM reach GROUP BY node", "f_edge2", more=f"{ADJACENT}, reach AS (SELECT node, node AS r FROM adj UNION SELECT a.node, reach.r FROM reach JOIN adj a ON a.member = reach.node WHERE reach.r < a.node)"))
+def connected_components(t: Tables) -> DataFrame:
+    return components.components(fx.edges2(t).select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
+GONE = "gone AS MATERIALIZED (SELECT p_partkey AS node FROM part WHERE p_size = 1), ends AS MATERIALIZED (SELECT DISTINCT u AS node, v AS other, member FROM f_edge UNION SELECT v, u, member FROM f_edge)"
+
+
+@query(sql("SELECT u, v, count(DISTINCT member) AS size FROM (SELECT u, v, member FROM f_edge WHERE u NOT IN (SELECT node FROM gone) AND v NOT IN (SELECT node FROM gone) UNION ALL SELECT a.other, b.other, a.member FROM ends a JOIN ends b ON a.node = b.node AND a.member = b.member AND a.other < b.other WHERE a.node IN (SELECT node FROM gone) AND a.other NOT IN (SELECT node FROM gone) AND b.other NOT IN (SELECT node FROM gone)) GROUP BY 1, 2", "f_edge", more=GONE))
+def delete_node_bridge(t: Tables) -> DataFrame:
+    gone = t.part.where("p_size = 1").select(F.col("p_partkey").alias("node"))
+    return graph.delete_nodes(fx.edges(t), gone).groupBy("u", "v").agg(F.count("*").alias("size"))
+
+
+REMOVED = "gone AS MATERIALIZED (SELECT DISTINCT node_id AS node, member FROM f_support JOIN part ON node_id = p_partkey WHERE p_size = member % 50), ends AS MATERIALIZED (SELECT DISTINCT u AS node, v AS other, member FROM f_edge UNION SELECT v, u, member FROM f_edge)"
+
+
+@query(sql("SELECT u, v, count(DISTINCT member) AS size FROM (SELECT u, v, member FROM f_edge WHERE (u, member) NOT IN (SELECT (node, member) FROM gone) AND (v, member) NOT IN (SELECT (node, member) FROM gone) UNION ALL SELECT a.other, b.other, a.member FROM ends a JOIN ends b ON a.node = b.node AND a.member = b.member AND a.other < b.other WHERE (a.node, a.member) IN (SELECT (node, member) FROM gone) AND (a.other, a.member) NOT IN (SELECT (node, member) FROM gone) AND (b.other, b.member) NOT IN (SELECT (node, member) FROM gone)) GROUP BY 1, 2", "f_edge", "f_support", more=REMOVED))
+def remove_member_bridge(t: Tables) -> DataFrame:
+    gone = merge.merge_members(fx.support(t)).join(t.part.select(F.col("p_partkey").alias("node_id"), "p_size"), "node_id").where("p_size = member % 50").select(F.col("node_id").alias("node"), "member")
+    return graph.remove_members(fx.edges(t), gone).groupBy("u", "v").agg(F.count("*").alias("size"))
+
+
+@query("SELECT p_brand || '/' || p_type AS cluster, md5(string_agg(p_name, ';' ORDER BY lead)) AS names, bool_or(big) AS flag, max(most) AS max_length FROM (SELECT p_brand, p_type, p_name, min(p_partkey) AS lead, bool_or(p_size > 48) AS big, max(p_size) AS most FROM part GROUP BY 1, 2, 3) GROUP BY 1")
+def cluster_node_merge(t: Tables) -> DataFrame:
+    nodes = t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("cluster"), "p_partkey", F.col("p_name").alias("names"), (F.col("p_size") > 48).alias("flag"), "p_size")
+    merged = merge.merge_cluster(nodes, "cluster", ["names"], ["flag"], "p_size", ["p_partkey"])
+    return merged.select("cluster", F.md5("names").alias("names"), "flag", "max_length")
+
+
+@query(sql("SELECT cluster, count(*) AS n_members, CAST(sum(CAST(n > 1 AS INT)) AS BIGINT) AS n_conflicts, round(avg(CAST(n = 1 AS DOUBLE)), 6) AS single_share FROM (SELECT p_brand || '/' || p_type AS cluster, member, count(*) AS n FROM mem JOIN part ON node_id = p_partkey GROUP BY 1, 2) GROUP BY 1", "f_support", more=MEMBERS))
+def cluster_member_conflicts(t: Tables) -> DataFrame:
+    placed = merge.merge_members(fx.support(t)).join(blocks(t).select(F.col("id").alias("node_id"), F.col("block").alias("cluster")), "node_id")
+    return merge.member_conflicts(placed, "cluster").withColumn("single_share", F.round("single_share", 6))
+
+
+@query()
+def family_collapse(t: Tables) -> DataFrame:
+    members = cut(merge.merge_members(fx.support(t)).select(F.col("node_id").alias("node"), "member"), "members")
+    return cluster.collapse_families(cut(fx.edges2(t), "edges"), members, cut(fx.identities(t), "identities"), least_identity=90)
+
+
+def names(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_name").alias("id"), F.length("p_name").alias("length")).distinct()
+
+
+def name_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    one = items.select(F.lit(1).alias("block"), F.col("id"), F.col("id").alias("seq"))  # different names are as many as the words that they are made of allow
+    return simjoin.within_blocks(one, "block", threshold).select("a", "b")
+
+
+@query()
+def greedy_incremental_cluster(t: Tables) -> DataFrame:
+    items = cut(names(t), "names")
+    return cluster.greedy_clusters(items, name_pairs(items, 0.5))
+
+
+@query()
+def threshold_ladder_cluster(t: Tables) -> DataFrame:
+    return cluster.threshold_ladder(cut(names(t), "names"), name_pairs, (0.8, 0.6, 0.4))
+
+
+@query()
+def paralog_safe_split(t: Tables) -> DataFrame:
+    members = merge.merge_members(fx.support(t)).select(F.col("node_id").alias("node"), "member")
+    return cluster.split_by_member(t.part.select(F.concat_ws("/", "p_brand", "p_type").alias("cluster"), F.col("p_partkey").alias("node"), F.col("p_size").alias("ord")), members, ["ord"])
+
+
+@query(sql("SELECT sample, CASE WHEN n < 10 THEN 'merged' WHEN n > 14 THEN cluster || CASE WHEN r <= ceil(n / 2.0) THEN 'a' ELSE 'b' END ELSE cluster END AS part FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n, row_number() OVER (PARTITION BY cluster ORDER BY sample) AS r FROM f_samples)", "f_samples"))
+def size_balance_partitions(t: Tables) -> DataFrame:
+    return partition.balance(fx.samples(t), 10, 14).select("sample", "part")
+
+
+@query("SELECT c_custkey, lpad(CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 50 AS VARCHAR), 4, '0') AS batch FROM customer")
+def fixed_batches(t: Tables) -> DataFrame:
+    return partition.fixed_batches(t.customer.select("c_custkey"), ["c_custkey"], 50)
+
+
+@query("SELECT c_custkey, c_nationkey AS sample, path FROM customer JOIN (SELECT s_nationkey, min(s_name) AS path FROM supplier WHERE s_name <> '' GROUP BY 1) ON c_nationkey = s_nationkey")
+def manifest_first_match(t: Tables) -> DataFrame:
+    return partition.manifest(t.customer.select("c_custkey", F.col("c_nationkey").alias("sample")), t.supplier.select(F.col("s_nationkey").alias("sample"), F.col("s_name").alias("path"))).select("c_custkey", "sample", "path")
+
+
+@query(sql("SELECT md5('>' || id || chr(10) || seq) AS line FROM f_seq", "f_seq"))
+def fasta_export_lines(t: Tables) -> DataFrame:
+    return files.fasta_lines(fx.sequences(t)).select(F.md5("value").alias("line"))
+
+
+@query()
+def gml_roundtrip(t: Tables) -> DataFrame:
+    """Regions and nations as a graph, written as GML and read again."""
+    from graphfold.plans.lineage import shared_dir
+
+    nodes = t.nation.select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("label"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("attributes"))
+    edges_ = t.nation.alias("a").join(t.nation.alias("b"), F.expr("a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")).select(F.col("a.n_nationkey").cast("long").alias("u"), F.col("b.n_nationkey").cast("long").alias("v"), F.create_map(F.lit("name"), F.concat_ws("&", "a.n_name", "b.n_name")).alias("attributes"))
+    path = f"{shared_dir(t.spark)}/gml-{id(nodes)}"
+    gml.write_graph(nodes, edges_, path)
+    text = t.spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("f"))
+    whole = "\n".join(r["value"].rstrip("\n") for r in text.orderBy("f").collect())  # 25 nations
+    found, lines, _ = gml.graph_rows(whole, 1)
+    return t.spark.createDataFrame([("node", n[1], n[1], n[2]) for n in found] + [("edge", e[1], e[2], e[3]["name"]) for e in lines], "part string, u long, v long, label string")
+
+
+@query(sql("SELECT node_id, count(DISTINCT member) AS size, coalesce(d, 0) AS degree FROM f_support LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node) ON node = node_id GROUP BY node_id, d", "f_support", "f_edge", more="e AS (SELECT DISTINCT u, v FROM f_edge)"))
+def fold_all_graphs(t: Tables) -> DataFrame:
+    """The regions' graphs in their order, whose nodes have one key: the fold of exact matches."""
+    s, e = cut(fx.support(t), "support"), cut(fx.edges(t), "edges")
+    graphs = [r[0] for r in s.select("graph_ord").distinct().orderBy("graph_ord").collect()]  # one for each region
+    one = lambda g: merge.Graph(s.where(F.col("graph_ord") == g).select("node_id").distinct(), s.where(F.col("graph_ord") == g).select("node_id", "member"), e.where(F.col("graph_ord") == g).select("u", "v", "member"))
+    base = one(graphs[0])
+    for g in graphs[1:]:
+        base = merge.united(base, one(g)).cut()
+    degree = graph.degrees(base.edges.select("u", "v").distinct()).withColumnRenamed("node", "node_id")
+    size = base.members.groupBy("node_id").agg(F.count("*").alias("size"))
+    return size.join(degree, "node_id", "left").select("node_id", "size", F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+@query(sql("SELECT cluster, count(*) AS n FROM (SELECT c_custkey, max_by(c_mktsegment, o_orderkey) AS cluster FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) GROUP BY 1"))
+def last_writer_clusters(t: Tables) -> DataFrame:
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return evaluate.last_cluster(rows, "c_custkey", "c_mktsegment", ["o_orderkey"]).groupBy("cluster").agg(F.count("*").alias("n"))
