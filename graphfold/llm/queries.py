@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.llm import codec, langid, near, packing, quality, search, secrets, tokencount, urls, windows
+from graphfold.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,5 +89,3 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_token_counts, op3_pivot_search, op4_url_reputation, op5_packed_sequences, op6_quality_rules, op7_packed_windows, op8_near_duplicates, op9_secret_scan, op10_bpe_round_trip)
 }
-
-ORACLES: dict[str, str] = {}
