@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, rule: NearRule) -> DataFrame:
 
         def step(batch: pa.RecordBatch):
             at = 0
-            for slab in slabs(batch.column(1)):
+            for slab in slabs(batch.column(1), 2_000_000):
                 sets = sketcher.shingles(slab)
                 least = np.array([sketcher.minima(s) for s in sets]).reshape(len(sets), -1)
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
