@@ -4,7 +4,8 @@ Each document's set of word shingles gives 384 minima. Bands of 6 name candidate
 bits are kept, and the share of equal bits, corrected for chance, drops candidates far from the
 threshold; the rest is confirmed on whole sets. Equal sets are one class from the start. In a bucket
 not all pairs are formed: members meet a few hubs, those that got linked fall together, and only
-members still apart meet further hubs, so that a large group of copies costs about its size.
+members still apart meet further hubs, so that a large group of copies costs about its size. Among
+these, a document whose shingles are too often its own can't be linked to any, and meets none.
 """
 
 from __future__ import annotations
@@ -173,6 +174,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
     return map_batches(rows, make, "a long, b long")
 
 
+def shared_counts(texts: DataFrame, rule: NearRule) -> DataFrame:
+    """(rep, own): how many shingles of each text no other of the texts has. Texts without any such have no row."""
+
+    def make():
+        sketcher = Sketcher(rule)
+
+        def step(batch: pa.RecordBatch):
+            at = 0
+            for slab in slabs(batch.column(1), 1_000_000):
+                sets = sketcher.shingles(slab)
+                names = np.repeat(batch.column(0).slice(at, len(sets)).to_numpy(), [len(x) for x in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(names, pa.int64())], names=["gram", "rep"])
+                at += len(sets)
+
+        return step
+
+    grams = map_batches(texts.select("doc_id", "text"), make, "gram long, rep long")
+    alone = grams.groupBy("gram").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
+    return alone.groupBy("rep").agg(F.count("*").alias("own"))
+
+
 def likely(pairs: DataFrame, classes: DataFrame, rule: NearRule) -> DataFrame:
     """The pairs whose sizes allow a link and whose bits don't speak against one.
 
@@ -200,19 +223,22 @@ def near_duplicates(df: DataFrame, rule: NearRule = NearRule(), id_col: str = "d
     known = drawn.where("doc_id is not null and key is not null")
     first = written(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     classes = written(known.join(first.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    entries = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
+    entries = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_buckets = written(entries.join(shared, "bucket").select("bucket", "rep", F.col("rep").alias("component")), "buckets")
+    open_buckets = written(entries.join(shared, "bucket").select("bucket", "rep", "n", F.col("n").alias("common"), F.col("rep").alias("component")), "buckets")
     texts = written(docs.join(open_buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
     links, tried, linked, done, hubs_now = None, None, None, 0, 1
     while True:
         # Hubs are the first members of a bucket by a hash; those before the last count have met all others.
         ranked = open_buckets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_now)
-        hubs = ranked.where(F.col("place") > done).select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        met = open_buckets.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")).join(hubs, "bucket")
+        hubs = ranked.where(F.col("place") > done).select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("mb"))
+        met = open_buckets.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("ma")).join(hubs, "bucket")
         later = (F.xxhash64("a") > F.xxhash64("b")) | ((F.xxhash64("a") == F.xxhash64("b")) & (F.col("a") > F.col("b")))
-        fresh = met.where((F.col("ca") != F.col("cb")) & later).select("a", "b").distinct()
+        # No more can be in common than what either has in common with any open document.
+        most = F.least("ma", "mb")
+        fits = 100 * most >= rule.percent * (F.col("na") + F.col("nb") - most)
+        fresh = met.where((F.col("ca") != F.col("cb")) & later & fits).select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
         pairs = written(likely(fresh, classes, rule), "pairs")
@@ -221,11 +247,16 @@ def near_duplicates(df: DataFrame, rule: NearRule = NearRule(), id_col: str = "d
         tried = pairs if tried is None else tried.unionByName(pairs)
         if found.limit(1).count():
             linked = components(links)
-            open_buckets = open_buckets.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        apart = open_buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where(f"lo < hi and n > {hubs_now}").select("bucket")
+            open_buckets = open_buckets.drop("component").join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        able = F.when(100 * F.col("common") >= rule.percent * F.col("n"), F.col("component"))  # else linked to none that is open
+        apart = open_buckets.groupBy("bucket").agg(F.min(able).alias("lo"), F.max(able).alias("hi"), F.count("*").alias("n")).where(f"lo < hi and n > {hubs_now}").select("bucket")
         open_buckets = written(open_buckets.join(apart, "bucket", "left_semi"), "buckets")
         if not open_buckets.limit(1).count():
             break
+        still = texts.join(open_buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        alone = shared_counts(still, rule)
+        open_buckets = open_buckets.join(alone, "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+        open_buckets = written(open_buckets, "buckets")
         done, hubs_now = hubs_now, 4 * hubs_now
     if linked is None:
         member = first.select("key", F.col("rep").alias("component_id"))
