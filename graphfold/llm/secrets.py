@@ -17,28 +17,38 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 
 
+_HARD = "bcdfghjklmnpqrstvwxz"
+
+
 @dataclass(frozen=True)
 class EntropyRule:
     """A candidate is a run of the alphabet; a window of it is random if its entropy reaches its class's bits.
 
-    The classes, by what the whole candidate holds: hexadecimal digits only; else letters and digits
-    only; else more. A candidate holds at least two digits, so that words are none.
+    The classes, by what a run holds: digits only; else hexadecimal digits only; else letters of one case
+    only; else letters and digits only; else more. No digit is asked for: words, numbers, and UUIDs
+    are cut out of a candidate, and the runs that are left are tested. Words are told by how
+    their letters follow each other, as a random run of letters holds too many consonants in a row or
+    pairs that words don't have.
     """
 
     window: int = 20
+    digit_bits: float = 2.5
     hex_bits: float = 3.0
+    letter_bits: float = 3.3
     alnum_bits: float = 3.6
     wide_bits: float = 3.8
     candidate: str = r"[A-Za-z0-9+/_=-]{20,}+"
-    holds: str = r"[0-9][^0-9]*[0-9]"
-    #: Suppressed: a candidate of nothing but such parts, as a path or a name of words; and what has the
-    #: form of a UUID, of digits and marks, or of a placeholder.
-    allow_part: str = r"/?+[A-Za-z]++[0-9]{0,4}+(?:[/_-]|$)"
+    #: Cut out: a UUID, wherever it stands; and a part between marks that is of words, up
+    #: to four digits after them, or a number or date of up to eight digits, unless it is unlike words.
+    #: Parts of fewer than four characters are left, as chance puts them between the marks of a key.
     allow: tuple[str, ...] = (
-        r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-        r"^[0-9/_+=-]+$",
-        r"(?i)example|placeholder|xxxx|lorem",
+        r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",
     )
+    #: Suppressed as a whole: what is of digits and marks, or has the form of a placeholder.
+    suppress: tuple[str, ...] = (r"^[0-9/_+=-]+$", r"(?i)example|placeholder|xxxx|lorem")
+    marks: str = r"(?<=[/_=+\n-])|(?=[/_=+\n-])"
+    allow_part: str = r"^(?=.{4})(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,4}|[0-9]{4,8})$"
+    unlike_words: str = rf"(?i)[{_HARD}]{{7}}|[jq][{_HARD}]|x[bdfgjkmnrsvwxz]|z[bcdfgjkmnpqrsvx]|[bcdfgkmnpstvwz]x|[bcdfghjklmnprstvwxz]q|[bcfghklmpstvwxz]j|v[bcdfghjkmnpqstwz]|w[cjqvxz]|[fghkpv]z(?!w)"
 
 
 def let(value: Column, body) -> Column:
@@ -75,7 +85,8 @@ def random_run(run: Column, rule: EntropyRule) -> Column:
     two are all that is read; the entropy is log2(window) - sum / window.
     """
     w = rule.window
-    bits = F.when(F.rlike(run, F.lit(r"^(?:[0-9a-f]+|[0-9A-F]+)$")), rule.hex_bits).when(F.rlike(run, F.lit(r"^[A-Za-z0-9]+$")), rule.alnum_bits).otherwise(rule.wide_bits)
+    holds = lambda pattern: F.rlike(run, F.lit(pattern))
+    bits = F.when(holds(r"^[0-9]+$"), rule.digit_bits).when(holds(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), rule.hex_bits).when(holds(r"^(?:[a-z]+|[A-Z]+)$"), rule.letter_bits).when(F.rlike(run, F.lit(r"^[A-Za-z0-9]+$")), rule.alnum_bits).otherwise(rule.wide_bits)
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
     count = lambda part, char: F.length(part) - F.length(F.replace(part, char, F.lit("")))
 
@@ -94,15 +105,26 @@ def random_run(run: Column, rule: EntropyRule) -> Column:
     return F.log2(F.lit(float(w))) - least / w >= bits - 1e-9
 
 
+def unexplained(match: Column, rule: EntropyRule) -> Column:
+    """The runs of a candidate that are left without the parts that the rule allows."""
+    for pattern in rule.allow:
+        match = F.regexp_replace(match, F.lit(pattern), F.lit("\n"))
+    allowed = lambda part: F.rlike(part, F.lit(rule.allow_part)) & ~F.rlike(part, F.lit(rule.unlike_words))
+    parts = F.transform(F.split(match, rule.marks), lambda part: F.when(allowed(part), F.lit("\n")).otherwise(part))
+    return F.split(F.array_join(parts, ""), "\n")
+
+
 def entropy_spans(text: Column, rule: EntropyRule) -> Column:
-    """Candidates with a random window, but for those that an allow-list pattern suppresses."""
+    """Candidates with a random window outside their allowed parts."""
+
+    def random(run: Column) -> Column:
+        return F.when(F.length(run) >= rule.window, random_run(run, rule)).otherwise(False)
 
     def secret(x: Column) -> Column:
-        match = x["match"]
-        allowed = F.regexp_replace(match, F.lit(rule.allow_part), F.lit("")) == ""
-        for pattern in rule.allow:
-            allowed = allowed | F.rlike(match, F.lit(pattern))
-        return F.when(F.rlike(match, F.lit(rule.holds)) & ~allowed, random_run(match, rule)).otherwise(False)
+        allowed = F.lit(False)
+        for pattern in rule.suppress:
+            allowed = allowed | F.rlike(x["match"], F.lit(pattern))
+        return ~allowed & F.exists(unexplained(x["match"], rule), random)
 
     return F.filter(spans_of(text, rule.candidate, 3), secret)
 

@@ -189,6 +189,21 @@ def test_secrets(spark, odd, empty, documents):
     assert sorted(map(tuple, clean.collect())) == [(1, "é [secret] and token", 20), (2, None, 0)]
 
 
+def entropy_found(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.report(frame).collect()}
+    return ["entropy" in found[i] for i in range(len(texts))]
+
+
+def test_secrets_without_digits(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(a) for _ in range(40)) for a in (letters, letters + "0123456789", letters[:26]) for _ in range(60)] + ["q8ZrxLmXovTbzNcYdkWdQHsJ", "qZrxLmXovTbzNcYdkWdQHsJ"]
+    assert all(entropy_found(spark, keys))
+    words = ["path/to/file1/of/many/things2", "getUserNameFromDatabaseConnection", "Donaudampfschifffahrtsgesellschaft", "internationalization-of-components", "MAX_CONNECTION_POOL_SIZE_LIMIT", "HTTPServerRequestHandlerFactory", "wiki/Knightsbridge_Strengths_and_lengths", "-" * 40, "a" * 3000 + "1b"]
+    assert not any(entropy_found(spark, words))
+
+
 def window_entropy(run, width):
     best = 0.0
     for i in range(len(run) - width + 1):
