@@ -25,8 +25,8 @@ class EntropyRule:
     """A candidate is a run of the alphabet; a window of it is random if its entropy reaches its class's bits.
 
     The classes, by what a run holds: digits only; else hexadecimal digits only; else letters of one case
-    only; else letters and digits only; else more. No digit is asked for: words, numbers, and UUIDs
-    are cut out of a candidate, and the runs that are left are tested. Words are told by how
+    only; else letters and digits only; else more. No digit is asked for: words, numbers, UUIDs and
+    placeholders are cut out of a candidate, and the runs that are left are tested. Words are told by how
     their letters follow each other, as a random run of letters holds too many consonants in a row or
     pairs that words don't have.
     """
@@ -38,14 +38,13 @@ class EntropyRule:
     alnum_bits: float = 3.6
     wide_bits: float = 3.8
     candidate: str = r"[A-Za-z0-9+/_=-]{20,}+"
-    #: Cut out: a UUID, wherever it stands; and a part between marks that is of words, up
+    #: Cut out: a UUID or a placeholder, wherever it stands; and a part between marks that is of words, up
     #: to four digits after them, or a number or date of up to eight digits, unless it is unlike words.
     #: Parts of fewer than four characters are left, as chance puts them between the marks of a key.
     allow: tuple[str, ...] = (
         r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])",
+        r"(?i)example|placeholder|x{4,}+|lorem",
     )
-    #: Suppressed as a whole: what is of digits and marks, or has the form of a placeholder.
-    suppress: tuple[str, ...] = (r"^[0-9/_+=-]+$", r"(?i)example|placeholder|xxxx|lorem")
     marks: str = r"(?<=[/_=+\n-])|(?=[/_=+\n-])"
     allow_part: str = r"^(?=.{4})(?:(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+)++[0-9]{0,4}|[0-9]{4,8})$"
     unlike_words: str = rf"(?i)[{_HARD}]{{7}}|[jq][{_HARD}]|x[bdfgjkmnrsvwxz]|z[bcdfgjkmnpqrsvx]|[bcdfgkmnpstvwz]x|[bcdfghjklmnprstvwxz]q|[bcfghklmpstvwxz]j|v[bcdfghjkmnpqstwz]|w[cjqvxz]|[fghkpv]z(?!w)"
@@ -120,13 +119,7 @@ def entropy_spans(text: Column, rule: EntropyRule) -> Column:
     def random(run: Column) -> Column:
         return F.when(F.length(run) >= rule.window, random_run(run, rule)).otherwise(False)
 
-    def secret(x: Column) -> Column:
-        allowed = F.lit(False)
-        for pattern in rule.suppress:
-            allowed = allowed | F.rlike(x["match"], F.lit(pattern))
-        return ~allowed & F.exists(unexplained(x["match"], rule), random)
-
-    return F.filter(spans_of(text, rule.candidate, 3), secret)
+    return F.filter(spans_of(text, rule.candidate, 3), lambda x: F.exists(unexplained(x["match"], rule), random))
 
 
 def scan(df: DataFrame, rule: EntropyRule = EntropyRule(), id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008

@@ -204,6 +204,13 @@ def test_secrets_without_digits(spark):
     assert not any(entropy_found(spark, words))
 
 
+def test_secrets_beside_allowed_parts(spark):
+    keys = [f"{w}_q8Zr2LmX0vTb7NcY5kWd3HsJ" for w in ("example", "placeholder", "lorem", "xxxx")] + ["id_123e4567-e89b-12d3-a456-426614174000_q8Zr2LmX0vTb7NcY5kWd3HsJ", "48201937465012938475"]
+    assert all(entropy_found(spark, keys))
+    allowed = ["example_placeholder_lorem_xxxxxxxx", "your-api-key-example-placeholder", "2024-01-02/03-04-05-000000", "id_123e4567-e89b-12d3-a456-426614174000", "00000000000000000001"]
+    assert not any(entropy_found(spark, allowed))
+
+
 def window_entropy(run, width):
     best = 0.0
     for i in range(len(run) - width + 1):
