@@ -207,3 +207,24 @@ def test_similarity_join(spark):
     texts = [(f"s{i}{j}", t[:40] + "x" * j + t[40:]) for i, t in enumerate(base) for j in range(3)] + [("none", "")]
     found = simjoin.similar(spark.createDataFrame(texts, "id string, seq string"), k=8, least_shared=4)
     assert rows(found, "query", "target") == sorted((f"s{i}{a}", f"s{i}{b}") for i in range(10) for a in range(3) for b in range(a + 1, 3))
+
+
+def edits_by_table(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_complete_similarity_join(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (1, 2, 7, 10, 20, 25, 40, 60, 90)]
+    spread = ["".join("z" if i % 5 == 4 else x for i, x in enumerate(t)) for t in base]
+    texts = [(f"s{i:02}", t) for i, t in enumerate([*base, *base, *spread, *(t[: len(t) * 3 // 4] for t in base), "", ""])] + [("t", None)]
+    given = [(i, t) for i, t in texts if t is not None]
+    wanted = sorted((a, b) for a, s in given for b, t in given if a < b and 1 - edits_by_table(s, t) / max(len(s), len(t), 1) >= 0.7 - 1e-9)
+    frame = spark.createDataFrame(texts, "id string, seq string")
+    assert rows(simjoin.complete(frame), "query", "target") == wanted
+    assert rows(simjoin.complete(frame, frame).where("query < target"), "query", "target") == wanted
