@@ -22,6 +22,8 @@ from graphfold.llm.wordtable import NumberTable, slabs, split
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
+#: Letters of a word at most in training.
+LONGEST = 64
 
 
 @dataclass
@@ -41,11 +43,12 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in plain if regex.fullmatch(rf"{MARK}?[\p{{L}}\p{{M}}]*", p) and p == p.lower()})
 
 
-def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, sample_words: int = 60_000, rounds: int = 3) -> LanguageModel:
-    """Piece probabilities by expectation-maximisation over a bounded sample of labelled rows.
+def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, rounds: int = 3) -> LanguageModel:
+    """Piece probabilities by expectation-maximisation over a sample of labelled rows.
 
-    About sample_docs whole documents of each language, chosen by a hash of their id, give word counts;
-    the sample_words most frequent (language, word) rows of them come to the driver. Rows without a
+    About sample_docs whole documents of each language, chosen by a hash of their id, give word counts.
+    All (language, word) rows of them come to the driver, so that a language's words don't depend on the
+    others; the sample bounds them. Runs of over LONGEST letters are cut into parts of that length. Rows without a
     language, and rows without text, take no part. With no labelled row the model has no language.
     """
     labelled = training.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where(F.col("l").isNotNull())
@@ -56,8 +59,8 @@ def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
         return LanguageModel([], pieces, np.zeros((len(pieces), 0)), np.zeros(0))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(1e6 * min(1.0, sample_docs / counts[lang])) + 1)])
     sample = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("l")])
-    words = sample.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}\p{M}]+")).alias("w")).where(F.length("w").between(1, 64))
-    rows = words.groupBy("l", "w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l", "w").limit(sample_words).toPandas()
+    words = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(rf"[\p{{L}}\p{{M}}]{{1,{LONGEST}}}"), F.lit(0))).alias("w"))
+    rows = words.groupBy("l", "w").agg(F.count("*").alias("n")).toPandas().sort_values(["n", "l", "w"], ascending=[False, True, True])
     return train(rows["l"].tolist(), rows["w"].tolist(), rows["n"].to_numpy(np.float64), languages, pieces, rounds)
 
 
@@ -69,17 +72,18 @@ def train(lang: list[str], words: list[str], counts: np.ndarray, languages: list
     log_p, log_unknown = np.full((size, n), -np.log(size)), np.full(n, -np.log(size) - 4)
     if not words:
         return LanguageModel(languages, pieces, log_p, log_unknown)
-    lattice = matcher.lattice([MARK + w for w in words])
     of = np.fromiter((number[x] for x in lang), np.int64, len(lang))
-    word = np.searchsorted(lattice.last, lattice.start, side="right")
-    column = of[word]
-    known = lattice.piece >= 0
+    lattices = [(i, matcher.lattice([MARK + w for w in words[i : i + WORDS_AT_ONCE]])) for i in range(0, len(words), WORDS_AT_ONCE)]
     for _ in range(rounds):
         table = np.vstack([log_p, log_unknown])
-        alpha, beta = forward(lattice, log_p, log_unknown), backward(lattice, log_p, log_unknown)
-        whole = alpha[lattice.last[word], column]
-        expected = counts[word] * np.exp(alpha[lattice.start, column] + table[lattice.piece, column] + beta[lattice.end, column] - whole)
-        gathered = np.bincount(lattice.piece[known] * n + column[known], expected[known], size * n).reshape(size, n)
+        gathered = np.zeros((size, n))
+        for first, lattice in lattices:
+            word = first + np.searchsorted(lattice.last, lattice.start, side="right")
+            column, known = of[word], lattice.piece >= 0
+            alpha, beta = forward(lattice, log_p, log_unknown), backward(lattice, log_p, log_unknown)
+            whole = alpha[lattice.last[word - first], column]
+            expected = counts[word] * np.exp(alpha[lattice.start, column] + table[lattice.piece, column] + beta[lattice.end, column] - whole)
+            gathered += np.bincount(lattice.piece[known] * n + column[known], expected[known], size * n).reshape(size, n)
         pooled = gathered.sum(1) + 1e-2
         pooled /= pooled.sum()
         smooth = gathered + prior * size * 1e-2 * pooled[:, None]

@@ -107,6 +107,16 @@ def test_language_forward_sums_all_segmentations():
     assert backward(lattice, table, np.array([unknown]))[lattice.first, 0] == pytest.approx([total(w) for w in words])
 
 
+def test_language_training_keeps_every_word(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda lang, words, counts, *more: seen.extend(zip(lang, words, counts, strict=True)))
+    many = ["".join("abcdefghijklmnop"[i >> 4 * k & 15] for k in range(4)) for i in range(61_000)]
+    rows = [(1, " ".join(many * 2), "de"), (2, "seul " + "z" * 130, "fr"), (3, None, "fr")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabularies.path("piece_bpe_32k.model"))
+    assert sorted(x for x in seen if x[0] == "fr") == [("fr", "seul", 1), ("fr", "z" * 2, 1), ("fr", "z" * 64, 2)]
+    assert sum(x[0] == "de" for x in seen) == 61_000
+
+
 def test_language_of_held_out_documents(spark, odd, empty, documents):
     vocabulary = vocabularies.path("piece_bpe_32k.model")
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
