@@ -23,4 +23,14 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     """df written to the shared folder and read again: computed once, and safe if executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/graphfold-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.graphfold_path = path
+    return kept
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what cut() wrote for these, once nothing that is still to be computed reads it."""
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame.graphfold_path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
