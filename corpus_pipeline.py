@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphfold.llm import langid, near, quality, secrets, windows
-from graphfold.llm.common import written
+from graphfold.plans.lineage import cut as written
 from graphfold.llm.queries import table, vocabulary
 
 #: A document stays if its language has at least this posterior.

@@ -1,10 +1,9 @@
-"""What the operators share: where tables are written between steps, and how code reaches executors."""
+"""What the operators share: joins with sets of ids, and how code reaches executors."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -17,30 +16,6 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Where none is named, a local session gets a temporary folder; any other session is refused,
-    for its executors would not see one another's files.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="graphfold-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir() or own
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, its lineage cut, safe if executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphfold-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that go to Python at once at most, so that a worker holds a few MB of common texts.
 BATCH_ROWS = 1000
 
@@ -76,3 +51,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and the text under names of their own, so that further columns of any name can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Ids that are sent to all executors at most, some 20 MB; more come by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose id is in ids, or by left_anti is not; ids is a written table, without repeats."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    held = (F.broadcast(ids) if few else ids).select(F.col(f"`{id_col}`").alias("gf_held"))
+    return df.join(held, F.col(f"`{id_col}`") == F.col("gf_held"), how)

@@ -1,10 +1,14 @@
 """Near duplicates by b-bit MinHash.
 
-Each document's set of word shingles gives 384 minima. Bands of 6 name candidates; of each minimum two
+Each document's set of word shingles gives 240 minima. Bands of 5 name candidates; of each minimum four
 bits are kept, and the share of equal bits, corrected for chance, drops candidates far from the
-threshold; the rest is confirmed on whole sets. Equal sets are one class from the start. In a bucket
-not all pairs are formed: members meet a few hubs, those that got linked fall together, and only
-members still apart meet further hubs, so that a large group of copies costs about its size.
+threshold; the rest is confirmed on whole sets. Equal sets are one class from the start.
+
+In a bucket not all pairs are formed. Every member meets the bucket's hub, the member that shares buckets
+with most others, as the original of many copies does. Where members of a bucket are still in different
+components, an exact join finds all links between these: two linked sets have their first common shingle,
+in an order that is the same for all, near the beginning of both. Shingles that only one component has
+come first in that order, so that what is unlike others meets nobody.
 """
 
 from __future__ import annotations
@@ -18,32 +22,33 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, two_columns, written
-from graphfold.llm.components import components
+from graphfold.llm.common import map_batches, two_columns, with_ids
 from graphfold.llm.wordtable import slabs
+from graphfold.operators.components import components
+from graphfold.plans.lineage import cut, drop
 
 
 @dataclass(frozen=True)
 class NearRule:
     """Documents are linked if percent * |union| <= 100 * |intersection|.
 
-    With 64 bands of 6 minima, a pair at similarity 0.75 shares no band in 4 of a million cases, and one
-    at 0.3 shares one in 5 of a hundred, so that documents with a passage in common seldom meet. The
-    estimate's standard deviation at 0.75 is 0.027; below the threshold by least_gap, 5.6 of those, a
-    candidate is dropped.
+    With 48 bands of 5 minima, a pair at similarity 0.75 shares no band in 2 of a million cases, and one
+    at 0.3 shares one in 11 of a hundred. The estimate's standard deviation at 0.75 is 0.029; below the
+    threshold by least_gap, 4.8 of those, a candidate is dropped.
     """
 
     shingle: int = 5
     percent: int = 75
-    bands: int = 64
-    rows: int = 6
-    least_gap: float = 0.15
+    bands: int = 48
+    rows: int = 5
+    least_gap: float = 0.14
     seed: int = 7
-    hub_rows: int = 256  # members of a hub in one group
 
 
-_MASK_BITS = 2
+_MASK_BITS = 4
 _TAKE = 20  # the bits kept are these above the lowest, which a product mixes least
+#: A hub's members are dealt to so many parts at most, each of which has the hub's text once.
+_PARTS = 4096
 
 
 class Sketcher:
@@ -96,10 +101,9 @@ class Sketcher:
         return least
 
     def bits(self, minima: np.ndarray) -> np.ndarray:
-        """Two bits of each minimum, packed into rows of longs."""
-        two = (minima >> np.uint64(_TAKE)).astype(np.uint8) & 3
-        packed = two[:, 0::4] | two[:, 1::4] << 2 | two[:, 2::4] << 4 | two[:, 3::4] << 6
-        return np.ascontiguousarray(packed).view("<i8")
+        """Four bits of each minimum, packed into rows of longs."""
+        four = (minima >> np.uint64(_TAKE)).astype(np.uint8) & 15
+        return np.ascontiguousarray(four[:, 0::2] | four[:, 1::2] << 4).view("<i8")
 
     def band_keys(self, minima: np.ndarray) -> np.ndarray:
         """A hash of each band's minima and of the band's number."""
@@ -143,12 +147,11 @@ def word_set(text: str, size: int) -> frozenset:
 def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
     """The pairs (a, b) that are linked by their whole sets.
 
-    b is a hub. Its members come in groups of about hub_rows, each with the hub's text first; a task
-    reads them in order and holds one hub's set at a time.
+    b is a hub. Its members are dealt to parts, each with the hub's text first; a task reads them in
+    order and holds one hub's set at a time.
     """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rule.hub_rows).cast("long").alias("parts"))
-    hubs = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("id"))
-    members = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(1).alias("role"), F.col("a").alias("id"))
+    members = pairs.select("b", F.pmod(F.xxhash64("a"), F.lit(_PARTS)).alias("part"), F.lit(1).alias("role"), F.col("a").alias("id"))
+    hubs = members.select("b", "part", F.lit(0).alias("role"), F.col("b").alias("id")).distinct()
     rows = hubs.unionByName(members).join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     rows = rows.select("b", "part", "role", "id", "text").repartition("b", "part").sortWithinPartitions("b", "part", "role", "id")
 
@@ -173,18 +176,84 @@ def confirmed(pairs: DataFrame, texts: DataFrame, rule: NearRule) -> DataFrame:
     return map_batches(rows, make, "a long, b long")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, rule: NearRule) -> DataFrame:
-    """The pairs whose sizes allow a link and whose bits don't speak against one.
+def sizes_allow(n_a, n_b, rule: NearRule):
+    return 100 * F.least(n_a, n_b) >= rule.percent * F.greatest(n_a, n_b)
+
+
+def likely(pairs: DataFrame, signatures: DataFrame, rule: NearRule) -> DataFrame:
+    """The pairs whose bits don't speak against a link.
 
-    Of unequal minima, one in 4 agrees in two bits; the similarity is (agreeing - 1/4) / (1 - 1/4).
+    Of unequal minima, one in 16 agrees in four bits; the similarity is (agreeing - 1/16) / (1 - 1/16).
     """
-    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= rule.percent * F.greatest("n_a", "n_b"))
-    low = 0x5555555555555555
+    side = lambda x: signatures.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    chance = 1 / (1 << _MASK_BITS)
     longs = rule.bands * rule.rows * _MASK_BITS // 64
-    differ = sum((F.bit_count((x := F.get("sig_a", F.lit(i)).bitwiseXOR(F.get("sig_b", F.lit(i)))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)) for i in range(longs)), F.lit(0))
-    agree = 1 - differ / float(rule.bands * rule.rows)
-    return both.where((agree - 0.25) / 0.75 >= rule.percent / 100 - rule.least_gap).select("a", "b")
+
+    def differing(i: int):
+        x = F.get("sig_a", F.lit(i)).bitwiseXOR(F.get("sig_b", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(0x1111111111111111))
+
+    agree = 1 - sum((differing(i) for i in range(longs)), F.lit(0)) / float(rule.bands * rule.rows)
+    return both.where((agree - chance) / (1 - chance) >= rule.percent / 100 - rule.least_gap).select("a", "b")
+
+
+def hub_pairs(shared: DataFrame, rule: NearRule) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's hub b, if their sizes allow a link. shared: (bucket, rep, n, size)."""
+    score = shared.groupBy("rep").agg(F.sum("size").alias("score"))
+    hubs = shared.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", F.xxhash64("rep").alias("h"), "rep", "n")).alias("hub"))
+    met = shared.join(hubs, (shared["bucket"] == hubs["bucket"]) & (F.col("rep") != F.col("hub.rep")) & sizes_allow(F.col("n"), F.col("hub.n"), rule))
+    return met.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).distinct()
+
+
+def grams(texts: DataFrame, rule: NearRule) -> DataFrame:
+    """(doc_id, grams): the hashes of each text's set."""
+
+    def make():
+        sketcher = Sketcher(rule)
+
+        def step(batch: pa.RecordBatch):
+            at = 0
+            for slab in slabs(batch.column(1), 2_000_000):
+                sets = [s.view(np.int64) for s in sketcher.shingles(slab)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+                at += len(sets)
+
+        return step
+
+    return map_batches(texts.select("doc_id", "text"), make, "doc_id long, grams array<long>")
+
+
+def prefix_pairs(sets: DataFrame, rule: NearRule) -> DataFrame:
+    """(a, b): all pairs of different components that may be linked, of (rep, n, component, held, grams).
+
+    Shingles are ordered: those of one component only first, then by the number of sets that hold them. A
+    link of sets of n and m shingles needs percent * (n + m) / (100 + percent) common ones. If the first of
+    these stands at places p and q, counted from 0, no more than n - p and m - q are left; so the pair is
+    formed at this shingle. A shingle's main component is that of its largest one; sets of it meet the
+    others only. held is the number of sets that a component has.
+    """
+    entries = sets.select("rep", "n", "component", "held", F.explode("grams").alias("gram"))
+    stats = entries.groupBy("gram").agg(F.count("*").alias("often"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "held").alias("main")).where("lo < hi").select("gram", "often", "main")
+    common = entries.join(stats, "gram")
+    by_rep = Window.partitionBy("rep")
+    place = F.col("n") - F.count("*").over(by_rep) + F.row_number().over(by_rep.orderBy("often", "gram")) - 1
+    need = lambda n, m, left: (100 + rule.percent) * left >= rule.percent * (n + m)
+    left = common.withColumn("left", F.col("n") - place).where(100 * F.col("left") >= rule.percent * F.col("n"))
+    left = cut(left.select("rep", "n", "component", "gram", "main", "left"), "prefixes")
+    # A class of sizes spans a ratio of 7 to 6; linked sets lie so many classes apart at most.
+    wide = 1 + int(np.ceil(np.log(100 / rule.percent) / np.log(7 / 6)))
+    grade = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(7 / 6))).cast("int")
+    least = F.floor(F.pow(F.lit(7 / 6), F.col("grade").cast("double")) * (1 - 1e-9))
+    one = left.where("component <> main").withColumn("grade", F.explode(F.sequence(grade - wide, grade + wide)))
+    one = one.where(need(F.col("n"), least, F.col("left"))).select("gram", "grade", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "component", "left")])
+    other = left.withColumn("grade", grade).select("gram", "grade", "main", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "component", "left")])
+    fits = (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main")) | (F.col("rep_a") < F.col("rep_b"))) & sizes_allow(F.col("n_a"), F.col("n_b"), rule)
+    for side in "ab":
+        fits = fits & need(F.col("n_a"), F.col("n_b"), F.col(f"left_{side}"))
+    met = one.join(other, (one["gram"] == other["gram"]) & (one["grade"] == other["grade"]) & fits)
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, rule: NearRule = NearRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -193,54 +262,46 @@ def near_duplicates(df: DataFrame, rule: NearRule = NearRule(), id_col: str = "d
     component_id is the smallest doc_id reachable over links, the own one included; kept marks the row
     that has it. A text without words has no links; so has a row without a doc_id, whose component is
     null and which is kept. Ids are meant to be unique: rows that repeat an id are one document, each
-    comes out, and equal sets link them as any others.
+    comes out, and equal sets link them as any others. Shingles are counted by hashes of 64 bits, and
+    sets are equal if a digest of 128 bits of those is.
     """
     docs = two_columns(df, id_col, text_col)
-    drawn = written(sketches(docs, rule), "sketches")
+    drawn = cut(sketches(docs, rule), "sketches")
     known = drawn.where("doc_id is not null and key is not null")
-    first = written(known.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    classes = written(known.join(first.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id"]), "representatives")
-    entries = classes.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_buckets = written(entries.join(shared, "bucket").select("bucket", "rep", F.col("rep").alias("component")), "buckets")
-    texts = written(docs.join(open_buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep")
-    links, tried, linked, done, hubs_now = None, None, None, 0, 1
-    while True:
-        # Hubs are the first members of a bucket by a hash; those before the last count have met all others.
-        ranked = open_buckets.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs_now)
-        hubs = ranked.where(F.col("place") > done).select("bucket", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        met = open_buckets.select("bucket", F.col("rep").alias("a"), F.col("component").alias("ca")).join(hubs, "bucket")
-        later = (F.xxhash64("a") > F.xxhash64("b")) | ((F.xxhash64("a") == F.xxhash64("b")) & (F.col("a") > F.col("b")))
-        fresh = met.where((F.col("ca") != F.col("cb")) & later).select("a", "b").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        pairs = written(likely(fresh, classes, rule), "pairs")
-        found = written(confirmed(pairs, texts, rule), "links")
-        links = found if links is None else links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if found.limit(1).count():
-            linked = components(links)
-            open_buckets = open_buckets.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        apart = open_buckets.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where(f"lo < hi and n > {hubs_now}").select("bucket")
-        open_buckets = written(open_buckets.join(apart, "bucket", "left_semi"), "buckets")
-        if not open_buckets.limit(1).count():
-            break
-        done, hubs_now = hubs_now, 4 * hubs_now
-    if linked is None:
-        member = first.select("key", F.col("rep").alias("component_id"))
-    else:
-        member = first.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    whole = drawn.select("doc_id", "n_shingles", "key").join(member, "key", "left")
+    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("s"))
+    classes = cut(first.select("key", F.col("s.doc_id").alias("rep"), F.col("s.n_shingles").alias("n"), "s.sig", "s.bands"), "classes")
+    entries = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
+    sizes = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    shared = cut(entries.join(sizes, "bucket"), "buckets")
+    sharing = cut(shared.select("rep").distinct(), "sharing")
+    signatures = cut(with_ids(classes.select("rep", "sig"), "rep", sharing), "signatures")
+    texts = cut(with_ids(docs, "doc_id", sharing.withColumnRenamed("rep", "doc_id")), "texts")
+    links = cut(confirmed(cut(likely(hub_pairs(shared, rule), signatures, rule), "pairs"), texts, rule), "links")
+    linked = components(links)
+    labels = cut(sharing.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")), "labels")
+    # A bucket of two has been dealt with. In others, all that a link to another component could have left out are looked at.
+    spread = shared.where("size > 2").join(labels, "rep")
+    apart = spread.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    still = cut(spread.join(apart, "bucket", "left_semi").select("rep", "n", "component").distinct(), "open")
+    held = still.groupBy("component").agg(F.count("*").alias("held"))
+    sets = still.join(held, "component").join(grams(with_ids(texts, "doc_id", still.select(F.col("rep").alias("doc_id"))), rule).withColumnRenamed("doc_id", "rep"), "rep")
+    sets = cut(sets, "sets")
+    more = cut(confirmed(cut(prefix_pairs(sets, rule), "pairs"), texts, rule), "links")
+    drop(shared, signatures, texts, sets)
+    if more.limit(1).count():
+        linked = components(links.unionByName(more))
+    member = classes.select("key", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    own = drawn.select("doc_id", "n_shingles", "key")
+    whole = own.where("key is not null").join(member, "key", "left").unionByName(own.where("key is null").withColumn("component_id", F.lit(None).cast("long")))
     return whole.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(df: DataFrame, rule: NearRule = NearRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """One row of each group, with df's columns: that of the smallest id. A row without an id stays."""
-    judged = written(near_duplicates(df, rule, id_col, text_col).select(F.col("doc_id").alias("gf_id"), "kept"), "kept")
+    judged = cut(near_duplicates(df, rule, id_col, text_col).select(F.col("doc_id").alias("gf_id"), "kept"), "kept")
     twice = judged.where("kept and gf_id is not null").groupBy("gf_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     gone = judged.where("not kept").select("gf_id").distinct()
-    rest = df.join(gone, F.col(f"`{id_col}`") == F.col("gf_id"), "left_anti")
+    rest = with_ids(df, id_col, cut(gone.withColumnRenamed("gf_id", id_col), "gone"), how="left_anti")
     if not twice:
         return rest
     whole = rest.where(F.col(f"`{id_col}`").isNotNull())

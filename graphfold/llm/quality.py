@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import ASCII_SPACE, written
+from graphfold.llm.common import ASCII_SPACE
+from graphfold.plans.lineage import cut as written
 
 SYMBOLS = "#*$%&|<>"
 NO_SYMBOLS = r"[^#*$%&|<>]++"

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import ship, written
+from graphfold.llm.common import ship
+from graphfold.plans.lineage import cut as written
 
 #: Distances are rounded; bounds give way by so much.
 SLACK = 1e-6

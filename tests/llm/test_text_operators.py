@@ -236,8 +236,13 @@ def test_entropy_moves_with_the_window(spark):
     assert all(x.hit == (window_entropy(x.r, rule.window) >= 3.1 - 1e-9) for x in found)
 
 
+def shingle_set(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text)) if w]
+    return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
 def near_by_hand(rows):
-    sets = {i: near.word_set(t or "", 5) for i, t in rows if i is not None}
+    sets = {i: shingle_set(t or "") for i, t in rows if i is not None}
     holders = defaultdict(list)
     for i, s in sets.items():
         for g in s:
@@ -275,6 +280,39 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, documents):
     assert kept.columns == odd.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 4").count() == 1
 
 
+def test_near_copies_around_the_threshold(spark):
+    rng = random.Random(11)
+    texts = []
+    for size in (12, 60, 140):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        pool = [base]
+        for _ in range(120):  # copies of the base and of copies, of other lengths too, many of them just beyond the threshold
+            words = list(rng.choice(pool))
+            for _ in range(rng.randrange(1, 2 + size // 12)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(3)] = [f"n{rng.randrange(10**6)}"] * rng.randrange(3)
+            texts.append(" ".join(words))
+            pool = (pool + [words])[:20]
+    rows = list(enumerate(texts))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == near_by_hand(rows)
+
+
+def test_prefixes_find_every_link(spark):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[i] if rng.random() > 0.05 else f"n{rng.randrange(60)}" for i in range(rng.randrange(4), rng.randrange(30, 40))) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(dict.fromkeys(texts))]
+    sets = {i: shingle_set(t) for i, t in rows}
+    component = {i: i // 3 for i, _ in rows}
+    whole = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    own = spark.createDataFrame([(i, len(sets[i]), c, 3) for i, c in component.items()], "rep long, n long, component long, held long")
+    formed = near.prefix_pairs(own.join(near.grams(frame, near.NearRule()).withColumnRenamed("doc_id", "rep"), "rep"), near.NearRule())
+    formed = {(min(r.a, r.b), max(r.a, r.b)) for r in formed.collect()}
+    assert whole and whole <= formed and all(component[a] != component[b] for a, b in formed)
+
+
 def test_bits_estimate_the_similarity():
     sketcher = near.Sketcher(near.NearRule())
     rng = np.random.default_rng(3)
@@ -284,8 +322,8 @@ def test_bits_estimate_the_similarity():
         b = np.concatenate([a[:300], rng.integers(0, 2**63, 100, np.uint64)])
         least = np.array([sketcher.minima(a), sketcher.minima(b)])
         bits = sketcher.bits(least).view(np.uint8)
-        agree = np.mean([((bits[0] >> s) & 3) == ((bits[1] >> s) & 3) for s in (0, 2, 4, 6)])
-        errors.append((agree - 0.25) / 0.75 - 300 / 500)
+        agree = np.mean([((bits[0] >> s) & 15) == ((bits[1] >> s) & 15) for s in (0, 4)])
+        errors.append((agree - 1 / 16) / (15 / 16) - 300 / 500)
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
 
 
