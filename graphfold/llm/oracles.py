@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graphfold.llm.near import NearRule
-from graphfold.llm.quality import RATES, Thresholds
+from graphfold.llm.quality import LOW, RATES, Thresholds
 from graphfold.llm.urls import Reputation
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,23 +50,23 @@ FROM p JOIN rated USING (host)
 def quality_sql(rule: Thresholds) -> str:
     text = "coalesce(text, '')"
     gram = "w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]"
-    values = " UNION ALL ".join(f"SELECT lang, source, {i} AS measure, {c} AS v FROM rated WHERE NOT base_failed" for i, c in enumerate(RATES))
+    values = " UNION ALL ".join(f"SELECT lang, source, {i} AS measure, {c} AS bucket FROM rated WHERE NOT base_failed" for i, c in enumerate(RATES))
+    smooth = ", ".join(f"CAST(floor(ln(CAST(2 * {n} + 1 AS DOUBLE) / CAST(2 * {size} + 2 AS DOUBLE)) / ln({rule.growth})) AS INT) AS {c}" for c, (n, size) in RATES.items())
 
     def fences(name: str, keys: str) -> str:
-        """Fences of merged sketches: the bucket at which the counts so far reach the quantile."""
+        """Fences of merged sketches: the buckets at which the counts so far reach the quantiles."""
         by = f"{keys}, " if keys else ""
         group = f"{by}measure"
-        quantile = lambda q: f"CASE WHEN min(bucket) FILTER (seen >= ceil({q} * n_all)) <= 0 THEN 0.0 ELSE pow({rule.growth}, min(bucket) FILTER (seen >= ceil({q} * n_all))) END"
-        floor = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(rule.floors))
-        columns = ", ".join(f"max(fence) FILTER (measure = {i}) AS {c}" for i, c in enumerate(RATES))
+        quantile = lambda q: f"CAST(min(bucket) FILTER (seen >= ceil({q} * n_all)) AS DOUBLE)"
         return f"""
 {name}_sum AS (SELECT {group}, bucket, sum(n) AS n FROM sketch GROUP BY {group}, bucket),
 {name}_seen AS (SELECT *, sum(n) OVER (PARTITION BY {group} ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY {group}) AS n_all FROM {name}_sum),
-{name}_mid AS (SELECT {group}, max(n_all) AS n_all, {quantile(0.5)} AS mid, {quantile(rule.high)} AS high FROM {name}_seen GROUP BY {group}),
-{name}_fence AS (SELECT *, greatest(CASE measure {floor} END, mid + {rule.reach} * (high - mid)) AS fence FROM {name}_mid),
-{name} AS MATERIALIZED (SELECT {by}{columns} FROM {name}_fence {f"GROUP BY {keys} HAVING max(n_all) >= {rule.min_rows}" if keys else ""})"""
+{name}_q AS (SELECT {group}, max(n_all) AS rows, {quantile(rule.low)} AS low, {quantile(0.5)} AS mid, {quantile(rule.high)} AS high FROM {name}_seen GROUP BY {group}),
+{name}_raw AS (SELECT {group}, rows, mid - {rule.reach} * greatest(mid - low, 1) AS lo, mid + {rule.reach} * greatest(high - mid, 1) AS hi FROM {name}_q)"""
 
-    beyond = " OR ".join(f"r.{c} > coalesce(CASE WHEN own.{RATES[0]} IS NOT NULL THEN own.{c} WHEN lan.{RATES[0]} IS NOT NULL THEN lan.{c} ELSE whole.{c} END, 'infinity'::DOUBLE)" for c in RATES)
+    mixed = ", ".join(f"(x.rows * x.{s} + {rule.prior_rows} * y.{s}) / (x.rows + {rule.prior_rows}) AS {s}" for s in ("lo", "hi"))
+    columns = ", ".join(f"max({s}) FILTER (measure = {i}) AS {c}_{s}" for i, c in enumerate(RATES) for s in ("lo", "hi"))
+    beyond = " OR ".join([f"r.{c} > own.{c}_hi" for c in RATES] + [f"r.{c} < own.{c}_lo" for c in LOW])
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, lang, source, {text} AS t, {WORDS.format(text)} AS w FROM documents),
 g AS (SELECT k, i, {gram} AS g FROM (SELECT k, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
@@ -76,12 +76,14 @@ lines AS (SELECT k, count(*) - count(DISTINCT x) AS n FROM (SELECT k, unnest(str
 m AS MATERIALIZED (SELECT k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(under.n, 0) AS n_repeat_words
   FROM d LEFT JOIN under USING (k) LEFT JOIN lines USING (k)),
-rated AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, floor(n_symbols * 10000 / greatest(word_chars, 1)) AS symbol_rate,
-  floor(n_dup_lines * 10000 / greatest(n_words, 1)) AS dup_line_rate, floor(n_repeat_words * 10000 / greatest(n_words, 1)) AS repeat_rate, floor(word_chars * 10000 / greatest(n_words, 1)) AS word_length_rate FROM m),
-sketch AS MATERIALIZED (SELECT lang, source, measure, CASE WHEN v <= 0 THEN 0 ELSE 1 + floor(ln(v) / ln({rule.growth})) END AS bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
-{fences("own", "lang, source")}, {fences("lan", "lang")}, {fences("whole", "")}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR {beyond}) AS kept
-FROM rated r LEFT JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source LEFT JOIN lan ON r.lang IS NOT DISTINCT FROM lan.lang, whole
+rated AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {smooth} FROM m),
+sketch AS MATERIALIZED (SELECT lang, source, measure, bucket, count(*) AS n FROM ({values}) GROUP BY ALL),
+{fences("own", "lang, source")}, {fences("lan", "lang")}, {fences("whole", "")},
+lan AS (SELECT x.lang, x.measure, {mixed} FROM lan_raw x JOIN whole_raw y USING (measure)),
+mixed AS (SELECT x.lang, x.source, x.measure, {mixed} FROM own_raw x JOIN lan y ON x.measure = y.measure AND x.lang IS NOT DISTINCT FROM y.lang),
+own AS MATERIALIZED (SELECT lang, source, {columns} FROM mixed GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR coalesce({beyond}, true)) AS kept
+FROM rated r LEFT JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source
 """
 
 

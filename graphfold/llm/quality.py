@@ -1,8 +1,10 @@
 """Quality rules whose thresholds follow the data: a quantile sketch for each language and source.
 
-A sketch counts rows by logarithmic bucket of a measure. Sketches merge by adding counts, in any order
-and with one result, so those of a language, and of all rows, come from those of its sources. DataFrame
-operations only.
+A measure is a rate, smoothed by half a unit so that texts without any still differ by their length. Its
+sketch counts rows by logarithmic bucket. Sketches merge by adding counts, in any order and with one
+result, so those of a language, and of all rows, come from those of its sources. A group's fences lie a
+number of quartile distances from its median, shrunk towards those of its language, and these towards
+those of all rows: no cutoff is fixed. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -19,19 +21,24 @@ from graphfold.plans.lineage import cut as written
 SYMBOLS = "#*$%&|<>"
 NO_SYMBOLS = r"[^#*$%&|<>]++"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-#: In ten-thousandths of a document's characters or words; each may be too high.
-RATES = ("symbol_rate", "dup_line_rate", "repeat_rate", "word_length_rate")
+#: Measures: a count and what it is a share of. Each may be too high.
+RATES = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_words"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+#: May be too low as well.
+LOW = ("word_length",)
 
 
 @dataclass(frozen=True)
 class Thresholds:
-    """The upper fence of a measure is median + reach * (high quantile - median), and not below floor."""
+    """In buckets: fences at median + reach * (high - median) and median - reach * (median - low).
 
+    A distance of quartiles counts as one bucket at least, which is what a sketch can tell apart.
+    """
+
+    low: float = 0.25
     high: float = 0.75
-    reach: float = 6.0
+    reach: float = 7.0
     growth: float = 1.02  # of the buckets' borders: a quantile is off by 1 % at most
-    min_rows: int = 200  # a group with fewer rows takes its language's sketch, then that of all rows
-    floors: tuple[int, ...] = (200, 3000, 3500, 120_000)
+    prior_rows: int = 100  # a group's fence and that of the level above weigh alike at so many rows
     broadcast_rows: int = 20_000  # thresholds of more groups are joined by a shuffle
 
 
@@ -113,43 +120,58 @@ def under_pairs(same: Column) -> Column:
     return let(F.sort_array(F.array_union(same.getField("i"), same.getField("j"))), lambda places: F.when(F.size(places) == 0, F.lit(0)).otherwise(under(places)))
 
 
-def rates(measures: DataFrame) -> DataFrame:
-    """The measures as whole ten-thousandths; word_length_rate is the mean length of a word, times 10,000."""
-    rate = lambda a, b: F.floor(F.col(a) * 10_000 / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return measures.withColumns({"symbol_rate": rate("n_symbols", "word_chars"), "dup_line_rate": rate("n_dup_lines", "n_words"), "repeat_rate": rate("n_repeat_words", "n_words"), "word_length_rate": rate("word_chars", "n_words")})
+def rates(measures: DataFrame, rule: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
+    """The measures with the bucket of each rate: k holds the smoothed rates from growth^k up to growth^(k+1)."""
+    smooth = lambda n, size: (2 * F.col(n) + 1).cast("double") / (2 * F.col(size) + 2).cast("double")
+    return measures.withColumns({c: F.floor(F.log(smooth(*of)) / F.log(F.lit(rule.growth))).cast("int") for c, of in RATES.items()})
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def sketches(rated: DataFrame, growth: float) -> DataFrame:
-    """(lang, source, measure, bucket, n): rows by bucket, of rows that the fixed base rules let pass.
-
-    Bucket 0 holds zeros, bucket k the values from growth^(k-1) up to growth^k.
-    """
-    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("measure"), F.col(c).alias("value")) for i, c in enumerate(RATES)]))
-    values = rated.where(~base_failed()).select("lang", "source", entries.alias("e")).select("lang", "source", "e.measure", "e.value")
-    bucket = F.when(F.col("value") <= 0, F.lit(0)).otherwise(1 + F.floor(F.log(F.col("value").cast("double")) / F.log(F.lit(growth)))).cast("int")
-    return values.withColumn("bucket", bucket).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+def sketches(rated: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): rows by bucket, of rows that the fixed base rules let pass."""
+    entries = F.explode(F.array(*[F.struct(F.lit(i).alias("measure"), F.col(c).alias("bucket")) for i, c in enumerate(RATES)]))
+    values = rated.where(~base_failed()).select("lang", "source", entries.alias("e"))
+    return values.groupBy("lang", "source", F.col("e.measure").alias("measure"), F.col("e.bucket").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame, keys: list[str], rule: Thresholds) -> DataFrame:
-    """A row for each group of keys: its number of rows and the fence of each measure, from merged sketches."""
+    """A row for each group of keys: its number of rows, and under each measure a struct of its fences lo and hi, from merged sketches."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     held = merged.groupBy(*keys, "measure").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("rows"))
 
     def quantile(q: float) -> Column:
-        """The upper border of the bucket that holds the quantile. A sketch has a bounded number of buckets."""
+        """The bucket that holds the quantile. A sketch has a bounded number of buckets."""
         wanted = F.ceil(F.lit(q) * F.col("rows"))
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).alias("at"))
-        end = F.aggregate("b", start, lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when((acc["at"] < 0) & (acc["seen"] + x["n"] >= wanted), x["bucket"]).otherwise(acc["at"]).alias("at")))
-        return F.when(end["at"] <= 0, F.lit(0.0)).otherwise(F.pow(F.lit(rule.growth), end["at"].cast("double")))
-
-    floor = F.element_at(F.array(*[F.lit(float(x)) for x in rule.floors]), F.col("measure") + 1)
-    fence = F.greatest(floor, F.col("mid") + rule.reach * (F.col("high") - F.col("mid")))
-    of = held.withColumns({"mid": quantile(0.5), "high": quantile(rule.high)}).withColumn("fence", fence)
-    return of.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == i, F.col("fence"))).alias(c) for i, c in enumerate(RATES)])
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
+        end = F.aggregate("b", start, lambda acc, x: F.struct((acc["seen"] + x["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + x["n"] >= wanted), x["bucket"]).otherwise(acc["at"]).alias("at")))
+        return end["at"].cast("double")
+
+    of = held.withColumns({"low": quantile(rule.low), "mid": quantile(0.5), "high": quantile(rule.high)})
+    reach = lambda distance: rule.reach * F.greatest(distance, F.lit(1.0))
+    fence = F.struct((F.col("mid") - reach(F.col("mid") - F.col("low"))).alias("lo"), (F.col("mid") + reach(F.col("high") - F.col("mid"))).alias("hi"))
+    return of.groupBy(*keys).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == i, fence)).alias(c) for i, c in enumerate(RATES)])
+
+
+def shrunk(own: DataFrame, above: DataFrame, keys: list[str], rule: Thresholds) -> DataFrame:
+    """The fences of own, weighed by its rows, with those of the level above, weighed by prior_rows. keys: above's."""
+    up = above.select(*[F.col(k).alias(f"gf_{k}") for k in keys], F.struct(*RATES).alias("gf_above"))
+    if keys:
+        both = own.join(up, F.col(keys[0]).eqNullSafe(F.col(f"gf_{keys[0]}")))
+    else:
+        both = own.join(F.broadcast(up), F.lit(True))  # one row
+    weighed = lambda c, side: (F.col("rows") * F.col(f"{c}.{side}") + rule.prior_rows * F.col(f"gf_above.{c}.{side}")) / (F.col("rows") + rule.prior_rows)
+    mixed = [F.struct(weighed(c, "lo").alias("lo"), weighed(c, "hi").alias("hi")).alias(c) for c in RATES]
+    return both.select(*[k for k in own.columns if k not in RATES], *mixed)
+
+
+def thresholds(sketch: DataFrame, rule: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
+    """Fences of each language and source, of each language, and of all rows."""
+    whole = fences(sketch, [], rule)
+    lang = shrunk(fences(sketch, ["lang"], rule), whole, [], rule)
+    return shrunk(fences(sketch, ["lang", "source"], rule), lang, ["lang"], rule), lang, whole
 
 
 def judge(rated: DataFrame, sketch: DataFrame, rule: Thresholds) -> DataFrame:
@@ -157,26 +179,25 @@ def judge(rated: DataFrame, sketch: DataFrame, rule: Thresholds) -> DataFrame:
 
     The few fences come as a broadcast if there are at most broadcast_rows of them, else by a shuffle
     join whose hot keys adaptive execution splits. Null languages and sources are groups like any other.
+    A group without fences has no row that passes the base rules.
     """
-    enough = F.col("rows") >= rule.min_rows
-    own = fences(sketch, ["lang", "source"], rule).where(enough)
-    lang = fences(sketch, ["lang"], rule).where(enough)
-    whole = fences(sketch, [], rule)
-    result = rated
-    for level, table, keys in (("own", own, ["lang", "source"]), ("lang", lang, ["lang"]), ("all", whole, [])):
-        fence = table.select(*[F.col(k).alias(f"gf_{k}") for k in keys], F.struct(*RATES).alias(f"gf_fence_{level}"))
-        if keys:
-            if fence.count() <= rule.broadcast_rows:
-                fence = F.broadcast(fence)
-            on = [F.col(k).eqNullSafe(F.col(f"gf_{k}")) for k in keys]
-            result = result.join(fence, on[0] if len(on) == 1 else on[0] & on[1], "left").drop(*[f"gf_{k}" for k in keys])
-        else:
-            result = result.join(F.broadcast(fence), F.lit(True), "left")  # one row
-    fence = F.coalesce("gf_fence_own", "gf_fence_lang", "gf_fence_all")
+    own = thresholds(sketch, rule)[0].select(F.col("lang").alias("gf_lang"), F.col("source").alias("gf_source"), F.struct(*RATES).alias("gf_fence"))
+    own = written(own, "fences")
+    if own.limit(rule.broadcast_rows + 1).count() <= rule.broadcast_rows:
+        own = F.broadcast(own)
+    result = rated.join(own, F.col("lang").eqNullSafe(F.col("gf_lang")) & F.col("source").eqNullSafe(F.col("gf_source")), "left")
     beyond = F.lit(False)
     for c in RATES:
-        beyond = beyond | (F.col(c) > F.coalesce(fence[c], F.lit(float("inf"))))
-    return result.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | beyond)}).drop("gf_fence_own", "gf_fence_lang", "gf_fence_all")
+        beyond = beyond | (F.col(c) > F.col(f"gf_fence.{c}.hi"))
+    for c in LOW:
+        beyond = beyond | (F.col(c) < F.col(f"gf_fence.{c}.lo"))
+    return result.withColumns({"base_failed": base_failed(), "kept": ~(base_failed() | F.coalesce(beyond, F.lit(True)))}).drop("gf_fence", "gf_lang", "gf_source")
+
+
+def judged(df: DataFrame, rule: Thresholds, id_col: str, text_col: str, lang_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Measures, buckets and verdict of every row after the columns of carry. Texts are measured once, into a written table."""
+    rated = written(rates(measure(df, id_col, text_col, lang_col, source_col, carry), rule), "measures")
+    return judge(rated, written(sketches(rated), "sketches"), rule)
 
 
 def quality(df: DataFrame, rule: Thresholds = Thresholds(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:  # noqa: B008
@@ -185,14 +206,10 @@ def quality(df: DataFrame, rule: Thresholds = Thresholds(), id_col: str = "doc_i
     A null text has no words and fails the base rules, as an empty one does. Rows that repeat are judged
     alike and come out as often as they came in. An empty table gives an empty result.
     """
-    rated = written(rates(measure(df, id_col, text_col, lang_col, source_col)), "measures")
-    sketch = written(sketches(rated, rule.growth), "sketches")
-    return judge(rated, sketch, rule)
+    return judged(df, rule, id_col, text_col, lang_col, source_col)
 
 
 def keep_good(df: DataFrame, rule: Thresholds = Thresholds(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:  # noqa: B008
-    """The rows of df that are kept, with df's columns. Texts are measured twice, so that none is shuffled."""
-    sketch = written(sketches(rates(measure(df, id_col, text_col, lang_col, source_col)), rule.growth), "sketches")
+    """The rows of df that are kept, with df's columns. The rows go through the written table, so that no text is shuffled or measured twice."""
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("gf_row"), F.col(id_col).alias("gf_i"), F.col(text_col).alias("gf_t"), F.col(lang_col).alias("gf_l"), F.col(source_col).alias("gf_s"))
-    judged = judge(rates(measure(whole, "gf_i", "gf_t", "gf_l", "gf_s", carry=("gf_row",))), sketch, rule)
-    return judged.where("kept").select("gf_row.*")
+    return judged(whole, rule, "gf_i", "gf_t", "gf_l", "gf_s", carry=("gf_row",)).where("kept").select("gf_row.*")

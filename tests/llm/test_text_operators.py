@@ -160,11 +160,34 @@ def test_quality_measures_and_thresholds(spark, odd, empty, documents):
 
 def test_quality_sketches_merge_to_the_whole(documents):
     rated = quality.rates(quality.measure(documents))
-    parts = quality.sketches(rated, 1.02).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    whole = quality.sketches(rated.withColumns({"lang": F.lit("x"), "source": F.lit("y")}), 1.02).select("measure", "bucket", "n")
+    parts = quality.sketches(rated).groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = quality.sketches(rated.withColumns({"lang": F.lit("x"), "source": F.lit("y")})).select("measure", "bucket", "n")
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_quality_fences_follow_their_group(spark):
+    rng = random.Random(4)
+    word = lambda least, most: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(least, most)))
+    text = lambda marks, least=3, most=9: " ".join(word(least, most) + "#" * (rng.random() < marks) for _ in range(rng.randrange(60, 200)))
+    plain = [(i, text(0), "en", "plain") for i in range(200)] + [(200 + i, text(0), "en", f"other{i % 3}") for i in range(450)]
+    marked = [(1000 + i, text(0.2), "en", "marked") for i in range(150)]
+    probes = [(2000, text(0.25), "en", "plain"), (2001, text(0.25), "en", "marked"), (2002, text(0, 12, 16), "en", "plain"), (2003, text(0, 1, 2), "en", "plain")]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def fence(rows):
+        own = quality.thresholds(quality.sketches(quality.rates(quality.measure(frame(rows)))))[0]
+        return {r.source: (r.symbols.hi, r.word_length.lo, r.word_length.hi) for r in own.collect()}
+
+    before = fence(plain + marked)
+    assert before["marked"][0] > before["plain"][0]
+    kept = {r.doc_id for r in quality.keep_good(frame(plain + marked + probes)).collect()}
+    assert not {2000, 2002, 2003} & kept and 2001 in kept and len(kept) > 780
+    longer = [(i, re.sub("([a-j])", r"\1\1", t) if source == "plain" else t, lang, source) for i, t, lang, source in plain]
+    after = fence(longer + marked)
+    assert after["plain"][2] > before["plain"][2] + 20  # its words became twice as long; the language's fence moves a little
+    assert all(abs(after[s][2] - before[s][2]) < 0.5 * abs(after["plain"][2] - before["plain"][2]) for s in ("marked", "other0"))
+
+
 def test_hashes_that_share_a_sort_key_are_told_apart(spark):
     top = 0x7123456789A << 20
     frame = spark.createDataFrame([([top + 5, top + 9, 7, top + 5, 8],), ([1, 2, 1, 2],), ([3, 3, 3],)], "h array<long>")
