@@ -16,14 +16,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches
-from graphfold.llm.lattice import MARK, WORDS_AT_ONCE, PieceMatcher, backward, forward
+from graphfold.llm.common import map_batches, ship
+from graphfold.llm.lattice import MARK, PieceMatcher, expected, forward, weights
 from graphfold.llm.wordtable import NumberTable, slabs, split
+from graphfold.plans.lineage import cut, drop
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
-#: Letters of a word at most in training.
-LONGEST = 64
+#: Letters of a word at most in training, and in a text; longer runs are cut into parts, as where a script sets no spaces.
+LONGEST, LONGEST_RUN = 64, 4096
 
 
 @dataclass
@@ -43,71 +44,130 @@ def vocabulary(path: str) -> list[str]:
     return sorted({p for p in plain if regex.fullmatch(rf"{MARK}?[\p{{L}}\p{{M}}]*", p) and p == p.lower()})
 
 
-def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, rounds: int = 3) -> LanguageModel:
-    """Piece probabilities by expectation-maximisation over a sample of labelled rows.
+def word_counts(training: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, most_languages: int = 500) -> tuple[list[str], DataFrame]:
+    """The languages, and (lang, word, n): their words in a sample of labelled rows, lang a number in that list.
 
-    About sample_docs whole documents of each language, chosen by a hash of their id, give word counts.
-    All (language, word) rows of them come to the driver, so that a language's words don't depend on the
-    others; the sample bounds them. Runs of over LONGEST letters are cut into parts of that length. Rows without a
-    language, and rows without text, take no part. With no labelled row the model has no language.
+    About sample_docs whole documents of each language, chosen by a hash of their id. Of more languages
+    than most_languages, those with the most rows take part. Runs of over LONGEST letters are cut into
+    parts of that length. Rows without a language, and rows without text, take no part.
     """
     labelled = training.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).where(F.col("l").isNotNull())
-    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    counts = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()}
     languages = sorted(counts)
-    pieces = vocabulary(vocabulary_path)
     if not languages:
-        return LanguageModel([], pieces, np.zeros((len(pieces), 0)), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(1e6 * min(1.0, sample_docs / counts[lang])) + 1)])
-    sample = labelled.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share[F.col("l")])
-    words = sample.select("l", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(rf"[\p{{L}}\p{{M}}]{{1,{LONGEST}}}"), F.lit(0))).alias("w"))
-    rows = words.groupBy("l", "w").agg(F.count("*").alias("n")).toPandas().sort_values(["n", "l", "w"], ascending=[False, True, True])
-    return train(rows["l"].tolist(), rows["w"].tolist(), rows["n"].to_numpy(np.float64), languages, pieces, rounds)
-
-
-def train(lang: list[str], words: list[str], counts: np.ndarray, languages: list[str], pieces: list[str], rounds: int = 3, prior: float = 0.5) -> LanguageModel:
-    """EM from equal probabilities. The pooled model, and under it an even floor, smooth each language's."""
-    matcher = PieceMatcher(pieces)
-    number = {x: i for i, x in enumerate(languages)}
+        return [], labelled.select(F.lit(0).alias("lang"), F.col("t").alias("word"), F.lit(0).cast("long").alias("n"))
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, sample_docs / counts[lang]))])
+    chance = F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(float(1 << 53))
+    sample = labelled.where(chance < share[F.col("l")])
+    words = sample.select(number[F.col("l")].alias("lang"), F.explode(F.regexp_extract_all(F.lower("t"), F.lit(rf"[\p{{L}}\p{{M}}]{{1,{LONGEST}}}"), F.lit(0))).alias("word"))
+    return languages, words.groupBy("lang", "word").agg(F.count("*").alias("n"))
+
+
+def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, most_languages: int = 500, rounds: int = 3) -> LanguageModel:
+    """Piece probabilities by expectation-maximisation over the words of a sample, see word_counts().
+
+    Each round's expectations are worked out where the words lie; a row for each piece and language comes
+    back, whatever the sample's size. With no labelled row the model has no language.
+    """
+    pieces = vocabulary(vocabulary_path)
+    languages, words = word_counts(training, text_col, lang_col, id_col, sample_docs, most_languages)
     size, n = len(pieces), len(languages)
-    log_p, log_unknown = np.full((size, n), -np.log(size)), np.full(n, -np.log(size) - 4)
-    if not words:
-        return LanguageModel(languages, pieces, log_p, log_unknown)
-    of = np.fromiter((number[x] for x in lang), np.int64, len(lang))
-    lattices = [(i, matcher.lattice([MARK + w for w in words[i : i + WORDS_AT_ONCE]])) for i in range(0, len(words), WORDS_AT_ONCE)]
+    model = LanguageModel(languages, pieces, np.full((size, n), -np.log(size)), np.full(n, -np.log(size) - 4))
+    if not languages:
+        return model
+    words = cut(words.repartition(SPREAD, "word"), "words")
     for _ in range(rounds):
-        table = np.vstack([log_p, log_unknown])
-        gathered = np.zeros((size, n))
-        for first, lattice in lattices:
-            word = first + np.searchsorted(lattice.last, lattice.start, side="right")
-            column, known = of[word], lattice.piece >= 0
-            alpha, beta = forward(lattice, log_p, log_unknown), backward(lattice, log_p, log_unknown)
-            whole = alpha[lattice.last[word - first], column]
-            expected = counts[word] * np.exp(alpha[lattice.start, column] + table[lattice.piece, column] + beta[lattice.end, column] - whole)
-            gathered += np.bincount(lattice.piece[known] * n + column[known], expected[known], size * n).reshape(size, n)
-        pooled = gathered.sum(1) + 1e-2
-        pooled /= pooled.sum()
-        smooth = gathered + prior * size * 1e-2 * pooled[:, None]
-        log_p = np.log(smooth / smooth.sum(0))
-        log_unknown = log_p.min(0) - 1
-    return LanguageModel(languages, pieces, log_p, log_unknown)
+        model = improved(words, model)
+    drop(words)
+    return model
+
+
+#: Parts that the training words are dealt to.
+SPREAD = 32
+#: Letters of training words that are gone through at once.
+LETTERS_AT_ONCE = 200_000
+#: Expectations are summed as whole numbers of this share, so that their order doesn't matter.
+UNIT = 2.0**-20
+
+
+def expectations(matcher: PieceMatcher, model: LanguageModel, lang: np.ndarray, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the table of pieces by languages, and in UNITs how often the words are expected to use them."""
+    lattice = matcher.lattice([MARK + w for w in words])
+    word = np.searchsorted(lattice.last, lattice.start)
+    column = lang[word]
+    weight = np.vstack([model.log_p, model.log_unknown])[lattice.piece, column]
+    used = np.rint(counts[word] * expected(lattice, weight) / UNIT).astype(np.int64)
+    known = lattice.piece >= 0
+    cells, at = np.unique(lattice.piece[known] * len(model.languages) + column[known], return_inverse=True)
+    sums = np.zeros(len(cells), np.int64)
+    np.add.at(sums, at, used[known])
+    return cells, sums
+
+
+def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> LanguageModel:
+    """The model after one round. The pooled model, and under it an even floor, smooth each language's."""
+    ship(words.sparkSession)
+    sent = words.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary, whatever the input
+
+    def run(batches):
+        matcher = matcher_of(sent.value.pieces)
+        held: list[pa.RecordBatch] = []
+        letters = 0
+
+        def used() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            found = expectations(matcher, sent.value, table["lang"].to_numpy(), table["word"].to_pylist(), table["n"].to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["cell", "units"])
+
+        for batch in batches:
+            held.append(batch)
+            letters += batch.nbytes
+            if letters >= LETTERS_AT_ONCE:
+                yield used()
+                held, letters = [], 0
+        if held:
+            yield used()
+
+    found = words.mapInArrow(run, "cell long, units long").groupBy("cell").agg(F.sum("units").alias("units")).toArrow()
+    size, n = model.log_p.shape
+    gathered = np.zeros(size * n)
+    gathered[found["cell"].to_numpy()] = found["units"].to_numpy() * UNIT
+    sent.destroy()
+    gathered = gathered.reshape(size, n)
+    pooled = gathered.sum(1) + 1e-2
+    pooled /= pooled.sum()
+    smooth = gathered + prior * size * 1e-2 * pooled[:, None]
+    log_p = np.log(smooth / smooth.sum(0))
+    return LanguageModel(model.languages, model.pieces, log_p, log_p.min(0) - 1)
+
+
+#: The last vocabulary's, kept between tasks.
+_MATCHERS: list[tuple[list[str], PieceMatcher]] = []
+
+
+def matcher_of(pieces: list[str]) -> PieceMatcher:
+    if not _MATCHERS or _MATCHERS[0][0] != pieces:
+        _MATCHERS[:] = [(pieces, PieceMatcher(pieces))]
+    return _MATCHERS[0][1]
 
 
 class Scorer(NumberTable):
     """Log probabilities of texts under each language; those of white-space separated chunks are kept for reuse."""
 
-    def __init__(self, model: LanguageModel, keep: int = 300_000) -> None:
+    def __init__(self, model: LanguageModel, keep: int = 60_000_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
         self.model = model
-        self.matcher = PieceMatcher(model.pieces)
+        self.matcher = matcher_of(model.pieces)
 
     def learn(self, chunks: list[str]) -> None:
         """Score chunks that are new: each run of letters in them is a word."""
-        runs = [LETTERS.findall(c) for c in chunks]
+        runs = [[w[i : i + LONGEST_RUN] for w in LETTERS.findall(c) for i in range(0, len(w), LONGEST_RUN)] for c in chunks]
         words = list(dict.fromkeys(w for r in runs for w in r))
         score = np.zeros((len(words), len(self.model.languages)))
-        for i in range(0, len(words), WORDS_AT_ONCE):
-            lattice = self.matcher.lattice([MARK + w for w in words[i : i + WORDS_AT_ONCE]])
-            score[i : i + WORDS_AT_ONCE] = forward(lattice, self.model.log_p, self.model.log_unknown)[lattice.last]
+        if words:
+            lattice = self.matcher.lattice([MARK + w for w in words])
+            score[:] = forward(lattice, weights(lattice, self.model.log_p, self.model.log_unknown))[lattice.last]
         at = {w: i for i, w in enumerate(words)}
         width = np.fromiter(map(len, runs), np.int64, len(runs))
         flat = np.fromiter((at[w] for r in runs for w in r), np.int64, int(width.sum()))

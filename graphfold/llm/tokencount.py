@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphfold.llm.common import map_batches, two_columns
-from graphfold.llm.lattice import MARK, WORDS_AT_ONCE, PieceMatcher, best_counts
+from graphfold.llm.lattice import MARK, PieceMatcher, best_counts
 from graphfold.llm.wordtable import NumberTable, slabs, split
 
 #: Below the lowest score of the vocabulary lies that of an unknown character, by the tokenizer's rule.
@@ -31,7 +31,7 @@ class Counter(NumberTable):
     into words whose counts add up. What stands between spaces is a row of the table.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 300_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 60_000_000) -> None:
         super().__init__(1, keep)
         self.pieces = [p for p, _ in pieces if "\n" not in p and MARK not in p[1:]]
         by = dict(pieces)
@@ -43,13 +43,7 @@ class Counter(NumberTable):
         """With a mark before each; a line feed is one token and parts what stands on its sides."""
         split_words = [(MARK + w).split("\n") for w in words]
         distinct = list(dict.fromkeys(p for s in split_words for p in s if p))
-        count: dict[str, int] = {}
-        for i in range(0, len(distinct), WORDS_AT_ONCE):
-            some = distinct[i : i + WORDS_AT_ONCE]
-            lattice = self.matcher.lattice(some)
-            points = np.frombuffer(lattice.chars.encode("utf-32-le", "surrogatepass"), np.uint32)
-            widths = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
-            count.update(zip(some, best_counts(lattice, self.score, self.unknown, widths).tolist(), strict=True))
+        count = dict(zip(distinct, best_counts(self.matcher, distinct, self.score, self.unknown), strict=True))
         self.append(np.array([[sum(count[p] for p in s if p) + len(s) - 1] for s in split_words], np.float64))
 
     def count(self, texts: pa.Array) -> np.ndarray:

@@ -15,6 +15,8 @@ import regex
 from graphfold.llm.bpe import CHUNKS, SPACE, byte_letters
 from graphfold.llm.wordtable import IdTable, slabs, split
 
+#: Pre-tokens that are kept have so many characters at most, and are so many.
+PART, PARTS = 40, 400_000
 #: No text that is cut at spaces in bulk holds this character.
 CUT = "\x00"
 #: The pre-tokens of the tokenizer that drops white space.
@@ -26,7 +28,7 @@ SETTLED = re.compile(r"[\x20-\u02af]*")
 class Encoder(IdTable):
     """Ids of texts as little-endian unsigned 32-bit integers, the end id after each, if there is one."""
 
-    def __init__(self, end: int | None = None, keep: int = 600_000) -> None:
+    def __init__(self, end: int | None = None, keep: int = 100_000_000) -> None:
         super().__init__(keep)
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
 
@@ -52,7 +54,7 @@ class WordEncoder(Encoder):
     distinct pre-token is encoded once by the library's model.
     """
 
-    def __init__(self, path: str, end: int, keep: int = 600_000) -> None:
+    def __init__(self, path: str, end: int, keep: int = 100_000_000) -> None:
         super().__init__(end, keep)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -80,7 +82,9 @@ class WordEncoder(Encoder):
                 for part in WORDS.findall(plain.lower()):
                     found = known.get(part)
                     if found is None:
-                        found = known[part] = self.token(part)
+                        found = self.token(part)
+                        if len(part) <= PART:
+                            known[part] = found
                     ids += found
                 out.append(ids)
             else:
@@ -88,7 +92,7 @@ class WordEncoder(Encoder):
                 out.append([])
         for i, found in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = found.ids
-        if len(known) > self.keep:
+        if len(known) > PARTS:
             self.known = {}
         counts = np.fromiter(map(len, out), np.int64, len(out))
         self.append(np.fromiter((x for ids in out for x in ids), np.uint32, int(counts.sum())), counts)
@@ -123,7 +127,7 @@ class ByteEncoder(Encoder):
 class RankEncoder(ByteEncoder):
     """Of a file of byte-level ranks; special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, pattern: str, end: int, keep: int = 600_000) -> None:
+    def __init__(self, path: str, pattern: str, end: int, keep: int = 100_000_000) -> None:
         super().__init__(end, keep)
         import base64
 

@@ -27,12 +27,26 @@ def split(texts: pa.Array, at: str) -> tuple[pa.Array, np.ndarray]:
     return parts.flatten(), offsets - offsets[0]
 
 
+#: Bytes that a word takes in a table besides its own.
+OVERHEAD = 150
+#: Bytes of words that are worked out at once, so that what a word is worked out with stays small.
+PORTION = 200_000
+
+
 class WordTable:
-    """Rows of numbers for words. A subclass says in learn() what a word's row holds."""
+    """Rows of numbers for words. A subclass says in learn() what a word's row holds.
+
+    keep bounds the table in bytes, as words may be of any length: where a script sets no spaces, a whole
+    text is one. A table that is full is emptied. What one call looks up is held until the next.
+    """
+
+    #: Bytes that a row takes for each byte of its word.
+    weight = 2
 
     def __init__(self, keep: int) -> None:
         self.keep = keep
         self.place: dict[str, int] = {}
+        self.held = 0
 
     def learn(self, words: list[str]) -> None:
         """Append a row for each word, none of which is known."""
@@ -46,14 +60,21 @@ class WordTable:
         """The row number of each word, valid until the next call."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        new = [w for w in distinct if w not in self.place]
-        if len(self.place) + len(new) > self.keep and self.place:
-            self.place = {}
+        sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = [i for i, w in enumerate(distinct) if w not in self.place]
+        cost = lambda at: self.weight * int(sizes[at].sum()) + OVERHEAD * len(at)
+        if self.place and self.held + cost(new) > self.keep:
+            self.place, self.held = {}, 0
             self.forget()
-            new = distinct
-        if new:
-            self.learn(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            new = list(range(len(distinct)))
+        self.held += cost(new)
+        ends = np.cumsum(sizes[new])
+        cuts = np.unique(np.append(np.flatnonzero(np.diff(ends // PORTION)) + 1, len(new))).tolist()
+        for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
+            if a < b:
+                some = [distinct[i] for i in new[a:b]]
+                self.learn(some)
+                self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
         at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         return at[coded.indices.to_numpy()]
 
@@ -61,7 +82,7 @@ class WordTable:
 class NumberTable(WordTable):
     """Each word's row is one vector; texts get the sums over their words."""
 
-    def __init__(self, width: int, keep: int) -> None:
+    def __init__(self, width: int, keep: int = 60_000_000) -> None:
         super().__init__(keep)
         self.width = width
         self.forget()
@@ -90,7 +111,9 @@ class NumberTable(WordTable):
 class IdTable(WordTable):
     """Each word's row is a run of token ids; texts get the runs of their words one after the other."""
 
-    def __init__(self, keep: int) -> None:
+    weight = 6  # a byte is an id of four bytes at most
+
+    def __init__(self, keep: int = 100_000_000) -> None:
         super().__init__(keep)
         self.forget()
 

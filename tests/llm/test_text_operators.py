@@ -85,7 +85,7 @@ def test_token_counts_equal_the_library(odd, documents, empty):
 
 
 def test_language_forward_sums_all_segmentations():
-    from graphfold.llm.lattice import PieceMatcher, backward, forward
+    from graphfold.llm.lattice import PieceMatcher, backward, expected, forward, weights
 
     pieces, p = ["a", "b", "ab", "ba", "aba"], np.log(np.array([0.3, 0.2, 0.25, 0.15, 0.1]))
     unknown = np.log(0.01)
@@ -103,18 +103,81 @@ def test_language_forward_sums_all_segmentations():
     words = ["a", "abab", "ababa", "xab", "bxb", "abaabba"]
     lattice = PieceMatcher(pieces).lattice(words)
     table = p[:, None]
-    assert forward(lattice, table, np.array([unknown]))[lattice.last, 0] == pytest.approx([total(w) for w in words])
-    assert backward(lattice, table, np.array([unknown]))[lattice.first, 0] == pytest.approx([total(w) for w in words])
-
-
-def test_language_training_keeps_every_word(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(langid, "train", lambda lang, words, counts, *more: seen.extend(zip(lang, words, counts, strict=True)))
+    weight = weights(lattice, table, np.array([unknown]))
+    assert forward(lattice, weight)[lattice.last, 0] == pytest.approx([total(w) for w in words])
+    assert backward(lattice, weight)[lattice.first, 0] == pytest.approx([total(w) for w in words])
+
+    def segmentations(word):
+        if not word:
+            yield []
+        for size in range(1, len(word) + 1):
+            if word[:size] in pieces or size == 1:
+                yield from ([word[:size], *rest] for rest in segmentations(word[size:]))
+
+    used = Counter()
+    for w in words:
+        chance = {tuple(s): np.exp(sum(p[pieces.index(x)] if x in pieces else unknown for x in s)) for s in segmentations(w)}
+        for s, c in chance.items():
+            for x in s:
+                used[x] += c / sum(chance.values())
+    found = Counter()
+    for piece, times in zip(lattice.piece, expected(lattice, weight[:, 0]), strict=True):
+        found["x" if piece < 0 else pieces[piece]] += times
+    assert found == pytest.approx(dict(used))
+
+
+def test_language_expectations_by_language():
+    from graphfold.llm.lattice import PieceMatcher
+
+    pieces = ["▁a", "▁", "a", "b", "ab"]
+    model = langid.LanguageModel(["x", "y"], pieces, np.log(np.array([[0.2, 0.4], [0.2, 0.1], [0.2, 0.1], [0.2, 0.2], [0.2, 0.2]])), np.log(np.array([0.01, 0.01])))
+    cells, units = langid.expectations(PieceMatcher(pieces), model, np.array([0, 1]), ["ab", "ab"], np.array([3, 5]))
+    used = dict(zip(cells.tolist(), (units * langid.UNIT).tolist(), strict=True))
+    # In x, mark-a b, mark a b and mark ab have 0.04, 0.008 and 0.04; in y 0.08, 0.002 and 0.02.
+    assert used[8] == pytest.approx(3 * 40 / 88, abs=1e-5) and used[9] == pytest.approx(5 * 20 / 102, abs=1e-5)
+    assert used[0] == pytest.approx(3 * 40 / 88, abs=1e-5) and used[1] == pytest.approx(5 * 80 / 102, abs=1e-5)
+
+
+def test_language_training_keeps_every_word(spark):
     many = ["".join("abcdefghijklmnop"[i >> 4 * k & 15] for k in range(4)) for i in range(61_000)]
     rows = [(1, " ".join(many * 2), "de"), (2, "seul " + "z" * 130, "fr"), (3, None, "fr")]
-    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), vocabularies.path("piece_bpe_32k.model"))
-    assert sorted(x for x in seen if x[0] == "fr") == [("fr", "seul", 1), ("fr", "z" * 2, 1), ("fr", "z" * 64, 2)]
-    assert sum(x[0] == "de" for x in seen) == 61_000
+    languages, words = langid.word_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = [tuple(r) for r in words.collect()]
+    assert languages == ["de", "fr"] and sorted(x for x in seen if x[0] == 1) == [(1, "seul", 1), (1, "z" * 2, 1), (1, "z" * 64, 2)]
+    assert sum(x[0] == 0 for x in seen) == 61_000
+
+
+def test_tables_of_words_are_bounded_in_bytes():
+    from graphfold.llm import wordtable
+
+    class Sizes(wordtable.NumberTable):
+        most = 0
+
+        def learn(self, words):
+            self.most = max(self.most, sum(map(len, words)) if len(words) > 1 else 0)
+            self.append(np.array([[len(w)] for w in words], float))
+
+    import pyarrow as pa
+
+    table, rng = Sizes(1, keep=3_000_000), random.Random(1)
+    for _ in range(40):  # unspaced texts of 90 kB each
+        texts = pa.array(["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(30_000)) for _ in range(3)] + ["a"], pa.large_string())
+        assert table.sums(texts, np.arange(5))[:, 0].tolist() == [30_000] * 3 + [1]
+        assert table.held <= 3_000_000 + 600_000 and sum(len(w) for w in table.place) * 4 <= 3_000_000
+    assert table.most <= 2 * wordtable.PORTION
+
+
+def test_long_words_count_block_by_block(monkeypatch):
+    from graphfold.llm import lattice
+
+    rng = np.random.default_rng(4)
+    pieces = ["▁", "a", "b", "ab", "ba", "aba", "bab", "abab", "aa"]
+    score = -rng.random(len(pieces)) * 3
+    matcher = lattice.PieceMatcher(pieces)
+    words = ["▁" + "".join(rng.choice(list("ab漢"), 300)) for _ in range(20)]
+    whole = lattice.best_counts(matcher, words, score, -9.0)
+    monkeypatch.setattr(lattice, "BLOCK", 17)
+    assert lattice.best_counts(matcher, words, score, -9.0) == whole
 
 
 def test_language_of_held_out_documents(spark, odd, empty, documents):
