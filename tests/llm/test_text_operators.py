@@ -317,6 +317,7 @@ def window_entropy(run, width):
 def test_entropy_moves_with_the_window(spark):
     rng = random.Random(8)
     runs = ["".join(rng.choice("abcdef0123456789XYZ"[: rng.randrange(4, 19)]) for _ in range(rng.randrange(20, 70))) for _ in range(150)]
+    runs += ["a" * n + "0123456789abcdefXYZk" + "a" * m for n in (490, 500, 511, 512, 513, 530, 1030) for m in (0, 3, 600)] + ["ab" * 700, "a1" * 300 + "b"]  # across pieces
     rule = secrets.EntropyRule(hex_bits=3.1, alnum_bits=3.1, wide_bits=3.1)
     found = spark.createDataFrame([(r,) for r in runs], "r string").select("r", secrets.random_run(F.col("r"), rule).alias("hit")).collect()
     assert all(x.hit == (window_entropy(x.r, rule.window) >= 3.1 - 1e-9) for x in found)
@@ -327,6 +328,39 @@ def shingle_set(text):
     return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
 
 
+def test_long_runs_and_many_secrets(spark):
+    import time
+
+    rng = random.Random(9)
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    flat = "ab/" * 333_334
+    many = " ".join(f"token={rng.randrange(10**9):09d} q8Zr2LmX0vTb7NcY5kWd3HsJ" for _ in range(3000))
+    began = time.time()
+    frame = spark.createDataFrame([(1, f"x {base64} y", 0), (2, flat, 0), (3, many, 0)], "doc_id long, text string, n_chars long")
+    found = {r.doc_id: r for r in secrets.report(frame).collect()}
+    assert "entropy:2:1000002" in found[1].spans and found[2].spans == ""
+    assert found[3].n_assign == 3000 and found[3].spans.count("entropy") == 3000
+    clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+    assert clean[1] == "x [secret] y" and clean[2] == flat and clean[3] == " ".join(["[secret] [secret]"] * 3000)
+    assert time.time() - began < 120
+
+
+def test_running_sums_and_covered_spans(spark):
+    rng = random.Random(10)
+    values = [[rng.randrange(50) for _ in range(n)] for n in (0, 1, 2, 3, 8, 9, 10, 65, 1000)]
+    frame = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    rows = frame.select("v", secrets.running(F.col("v"), lambda a, b: a + b).alias("sums"), secrets.running(F.col("v"), F.greatest).alias("most")).collect()
+    for r in rows:
+        assert r.sums == [sum(r.v[: i + 1]) for i in range(len(r.v))] and r.most == [max(r.v[: i + 1]) for i in range(len(r.v))]
+    span = "array<struct<start:int,kind:int,end:int>>"
+    cases = []
+    for _ in range(200):
+        make = lambda kind: sorted((s, kind, s + rng.randrange(1, 9)) for s in rng.sample(range(40), rng.randrange(6)))
+        cases.append((sorted(make(0) + make(1) + make(2)), make(3)))
+    for r in spark.createDataFrame(cases, f"base {span}, more {span}").select("base", "more", secrets.united(F.col("base"), F.col("more")).alias("found")).collect():
+        assert r.found == sorted(r.base + [x for x in r.more if not any(b.start <= x.start and x.end <= b.end for b in r.base)])
+
+
 def near_by_hand(rows):
     sets = {i: shingle_set(t or "") for i, t in rows if i is not None}
     holders = defaultdict(list)
