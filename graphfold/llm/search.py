@@ -10,12 +10,12 @@ bounds until no bound is left that could do.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import ship
-from graphfold.plans.lineage import cut as written
+from graphfold.llm.common import map_batches
+from graphfold.plans.lineage import cut, drop
 
 #: Distances are rounded; bounds give way by so much.
 SLACK = 1e-6
@@ -66,19 +66,37 @@ def spread_out(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 32, sample_rows: int = 2000, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def rows_of(column: pa.Array, dtype) -> np.ndarray:
+    """A list column as a matrix; a shorter list is one with zeros after it."""
+    offsets = column.offsets.to_numpy()
+    flat, widths = column.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+    width = int(widths.max(initial=0))
+    if (widths == width).all():
+        return flat[offsets[0] : offsets[-1]].reshape(len(column), width).astype(dtype, copy=False)
+    out = np.zeros((len(column), width), dtype)
+    for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+        out[i, : b - a] = flat[a:b]
+    return out
+
+
+def widened(x: np.ndarray, width: int) -> np.ndarray:
+    return x if x.shape[1] == width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
+
+
+def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 32, sample_rows: int = 8192, block_rows: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with other rows, ties to the smaller vec_id.
 
     vectors: (vec_id, v). is_query: a condition on vec_id. Only pivots and a sample of sample_rows rows,
-    by a hash of their ids, are held by the driver. Rows that repeat an id count as one, by the vector
-    that sorts first. A table of one vector, or none, has no result. A score must fit in a long.
+    by a hash of their ids, are held by the driver; the sample's k-th best score is a query's first
+    threshold. A block of block_rows vectors lies in one task once, the queries that its cell can't be
+    ruled out for pass by it in batches. Rows that repeat an id count as one, by the vector that sorts
+    first. A table of one vector, or none, has no result. A score must fit in a long.
     """
     spark = vectors.sparkSession
-    ship(spark)
     schema = "query_id long, rank int, vec_id long, score long"
     base = vectors.groupBy("vec_id").agg(F.min("v").alias("v")).where(F.col("vec_id").isNotNull())
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    base = written(base.withColumn("square", square), "vectors")
+    base = cut(base.withColumn("square", square), "vectors")
     known = base.agg(F.max("square").alias("square"), F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
     if not known["n"]:
         return spark.createDataFrame([], schema)
@@ -86,75 +104,114 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, pivots: int = 32, sample_row
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vec_id", "v").collect()
     sample_ids, sample_v = np.array([r["vec_id"] for r in sample]), matrix([r["v"] for r in sample], width)
     pivot_v = spread_out(augmented(sample_v, most), pivots)
-    names = [f"p{i}" for i in range(len(pivot_v))]
+    sent = spark.sparkContext.broadcast((sample_ids, sample_v, pivot_v))
 
-    def tabulate(frames):
+    def tabulate():
         """The pivot table: each vector's distances, and its cell, the nearest pivot's."""
-        for pdf in frames:
-            x = matrix(pdf["v"].tolist(), width)
-            d = distances(augmented(x, most), pivot_v)
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": list(x), "cell": d.argmin(1).astype(np.int32), "d": list(d)})
-
-    tabled = written(base.select("vec_id", "v").mapInPandas(tabulate, "vec_id long, v array<long>, cell int, d array<double>"), "pivots")
-    cells = tabled.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.get("d", F.lit(i))).alias(f"{label}{i}") for i in range(len(names)) for label, f in (("lo", F.min), ("hi", F.max))]).orderBy("cell").collect()  # a row for each pivot at most
-    cell_ids = np.array([c["cell"] for c in cells])
-    low, high = (np.array([[c[f"{label}{i}"] for i in range(len(names))] for c in cells]) for label in ("lo", "hi"))
-    parts = {c["cell"]: -(-c["n"] // block_rows) for c in cells}
-    queries = tabled.where(is_query)
-    query_parts = max(1, -(-queries.count() // query_rows))
-
-    def route(frames):
-        """Each query to the cells that its threshold can't rule out; the sample gives a first k-th best score."""
-        for pdf in frames:
-            q, d = matrix(pdf["v"].tolist(), width), np.array(pdf["d"].tolist()).reshape(len(pdf), -1)
-            scores = products(q, sample_v).astype(np.float64)
-            scores[pdf["vec_id"].to_numpy()[:, None] == sample_ids[None, :]] = -np.inf
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(q), -np.inf)
-            farthest = np.sqrt(np.maximum(most + (q.astype(np.float64) ** 2).sum(1) - 2 * kth, 0)) if len(q) else kth
-            # A query's own component is 0, so that its distances to the pivots are those of that point.
-            own = distances(np.column_stack([q, np.zeros(len(q))]).astype(np.float64), pivot_v)
-            bound = np.maximum(low[None] - own[:, None], own[:, None] - high[None]).max(2)
-            query, cell = np.nonzero(bound <= (farthest * (1 + SLACK) + SLACK)[:, None])
-            yield pd.DataFrame({"vec_id": pdf["vec_id"].to_numpy()[query], "v": list(q[query]), "cell": cell_ids[cell].astype(np.int32), "d": list(own[query]), "kth": kth[query]})
-
-    part = F.element_at(F.create_map(*[F.lit(int(x)) for c, n in parts.items() for x in (c, n)]), F.col("cell"))
-    routed = queries.select("vec_id", "v", "d").mapInPandas(route, "vec_id long, v array<long>, cell int, d array<double>, kth double")
-    routed = routed.withColumn("q_part", F.pmod(F.xxhash64("vec_id"), F.lit(query_parts))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part.cast("long") - 1)))
-    rows = tabled.withColumn("part", F.pmod(F.xxhash64("vec_id"), part.cast("long"))).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_parts - 1).cast("long"))))
-
-    def evaluate(query: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(query) and len(block):
-            x, ids, dx = matrix(block["v"].tolist(), width), block["vec_id"].to_numpy(), np.array(block["d"].tolist())
-            for vec_id, v, dq, kth in zip(query["vec_id"], query["v"], query["d"], query["kth"], strict=True):
-                out += [(vec_id, i, s) for i, s in nearest(np.asarray(v), np.asarray(dq), vec_id, kth, x, ids, dx, most, k)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["cell", "part", "q_part"]
-    found = routed.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(evaluate, "query_id long, vec_id long, score long")
+
+        def step(batch: pa.RecordBatch):
+            d = distances(augmented(widened(rows_of(batch["v"], np.int64), width), most), sent.value[2])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["v"], pa.array(d.argmin(1).astype(np.int32)), listed(d)], names=["vec_id", "v", "cell", "d"])
+
+        return step
+
+    tabled = cut(map_batches(base.select("vec_id", "v"), tabulate, "vec_id long, v array<long>, cell int, d array<double>"), "pivots")
+    drop(base)
+    cells = tabled.groupBy("cell").agg(F.count("*").alias("n"), *[f(F.get("d", F.lit(i))).alias(f"{label}{i}") for i in range(len(pivot_v)) for label, f in (("lo", F.min), ("hi", F.max))]).orderBy("cell").collect()  # a row for each pivot at most
+    cell_ids = np.array([c["cell"] for c in cells], np.int32)
+    low, high = (np.array([[c[f"{label}{i}"] for i in range(len(pivot_v))] for c in cells]) for label in ("lo", "hi"))
+
+    def route():
+        """Each query to the cells that its threshold can't rule out."""
+        ids, points, _ = sent.value
+
+        def step(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, QUERIES):
+                some = batch.slice(at, QUERIES)
+                q, own_ids = widened(rows_of(some["v"], np.int64), width), some["vec_id"].to_numpy()
+                scores = products(q, points).astype(np.float64)
+                scores[own_ids[:, None] == ids[None, :]] = -np.inf
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(q), -np.inf)
+                farthest = np.sqrt(np.maximum(most + (q.astype(np.float64) ** 2).sum(1) - 2 * kth, 0))
+                # A query's own component is 0, so that its distances to the pivots are those of that point.
+                own = distances(np.column_stack([q, np.zeros(len(q))]).astype(np.float64), sent.value[2])
+                bound = np.maximum(low[None] - own[:, None], own[:, None] - high[None]).max(2)
+                query, cell = np.nonzero(bound <= (farthest * (1 + SLACK) + SLACK)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(own_ids[query]), listed(q[query]), pa.array(cell_ids[cell]), listed(own[query]), pa.array(kth[query])], names=["vec_id", "v", "cell", "d", "kth"])
+
+        return step
+
+    part = F.element_at(F.create_map(*[F.lit(int(x)) for c in cells for x in (c["cell"], -(-c["n"] // block_rows))]), F.col("cell")).cast("long")
+    routed = map_batches(tabled.where(is_query).select("vec_id", "v"), route, "vec_id long, v array<long>, cell int, d array<double>, kth double")
+    routed = routed.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), part - 1)).alias("part"), F.lit(1).alias("role"), "vec_id", "v", "d", "kth")
+    blocks = tabled.select("cell", F.pmod(F.xxhash64("vec_id"), part).alias("part"), F.lit(0).alias("role"), "vec_id", "v", "d", F.lit(0.0).alias("kth"))
+    rows = blocks.unionByName(routed).repartition("cell", "part").sortWithinPartitions("cell", "part", "role", "vec_id")
+
+    def search():
+        state: dict = {"key": None, "parts": [], "block": None}
+
+        def step(batch: pa.RecordBatch):
+            keys = np.column_stack([batch[c].to_numpy() for c in ("cell", "part", "role")])
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for a, b in zip([0, *edges], [*edges, len(keys)], strict=True):
+                if a == b:
+                    continue
+                some, (cell, number, role) = batch.slice(a, b - a), keys[a]
+                own = some["vec_id"].to_numpy(), widened(rows_of(some["v"], np.int64), width), rows_of(some["d"], np.float64)
+                if state["key"] != (cell, number):
+                    state.update(key=(cell, number), parts=[], block=None)
+                if role == 0:
+                    state["parts"].append(own)
+                    continue
+                if state["block"] is None:
+                    if not state["parts"]:
+                        continue
+                    state.update(block=tuple(np.concatenate(x) for x in zip(*state["parts"], strict=True)), parts=[])
+                kth = some["kth"].to_numpy()
+                for at in range(0, b - a, QUERIES):
+                    found = nearest(*(x[at : at + QUERIES] for x in own), kth[at : at + QUERIES], *state["block"], most, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
+
+        return step
+
+    found = map_batches(rows, search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(query: np.ndarray, dq: np.ndarray, own_id: int, kth: float, x: np.ndarray, ids: np.ndarray, dx: np.ndarray, square: float, k: int, step: int = 256) -> list[tuple[int, int]]:
-    """The k best of one block, or fewer that can matter: candidates in the order of their bounds until none can do.
+#: Queries that pass by a block at once; their bounds to a block of 65536 take some 30 MB.
+QUERIES = 64
+
+
+def listed(x: np.ndarray) -> pa.ListArray:
+    """A matrix as a list column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def nearest(own_ids: np.ndarray, queries: np.ndarray, dq: np.ndarray, kth: np.ndarray, ids: np.ndarray, x: np.ndarray, dx: np.ndarray, square: float, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of one block, or fewer that can matter, for each query: candidates in the order of their bounds until none can do.
 
-    kth: a score that k other rows are known to reach.
+    kth: scores that k other rows are known to reach. Bounds are the greatest over all pivots.
     """
-    bound = np.abs(dx - dq[None, :]).max(1)
-    norm = float((query.astype(np.float64) ** 2).sum())
-    limit = lambda score: np.sqrt(max(square + norm - 2 * score, 0)) * (1 + SLACK) + SLACK if np.isfinite(score) else np.inf
-    order = np.flatnonzero((bound <= limit(kth)) & (ids != own_id))
-    order = order[np.argsort(bound[order], kind="stable")]
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = 0
-    while at < len(order):
-        if len(best) == k and bound[order[at]] > limit(max(float(best[-1]), kth)):
-            break
-        take = order[at : at + step]
-        at += step
-        step *= 2
-        best, best_ids = np.append(best, products(query[None, :], x[take])[0]), np.append(best_ids, ids[take])
-        keep = np.lexsort((best_ids, -best))[:k]
-        best, best_ids = best[keep], best_ids[keep]
-    return list(zip(best_ids.tolist(), best.tolist(), strict=True))
+    bound = np.zeros((len(queries), len(ids)))
+    for p in range(dx.shape[1]):
+        np.maximum(bound, np.abs(dx[None, :, p] - dq[:, None, p]), out=bound)
+    norms = (queries.astype(np.float64) ** 2).sum(1)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for i, own_id in enumerate(own_ids):
+        limit = lambda score: np.sqrt(max(square + norms[i] - 2 * score, 0)) * (1 + SLACK) + SLACK if np.isfinite(score) else np.inf  # noqa: B023, E731
+        order = np.flatnonzero((bound[i] <= limit(kth[i])) & (ids != own_id))
+        order = order[np.argsort(bound[i, order], kind="stable")]
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, size = 0, step
+        while at < len(order):
+            if len(best) == k and bound[i, order[at]] > limit(max(float(best[-1]), kth[i])):
+                break
+            take = order[at : at + size]
+            at, size = at + size, 2 * size
+            best, best_ids = np.append(best, products(queries[i : i + 1], x[take])[0]), np.append(best_ids, ids[take])
+            keep = np.lexsort((best_ids, -best))[:k]
+            best, best_ids = best[keep], best_ids[keep]
+        for column, value in zip(out, (np.full(len(best), own_id), best_ids, best), strict=True):
+            column.append(value)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *column]) for column in out)

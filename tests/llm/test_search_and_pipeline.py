@@ -35,7 +35,7 @@ def test_top_k_equals_brute_force(spark):
     rows += [(2000, None), (2050, [0.1, None]), (2100, [float("nan")] * 64), (2150, [float("inf")] * 64), (2200, [1.5] * 10), (2250, []), (None, [0.2] * 64), (1000, rows[0][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
     vectors = search.whole_vectors(frame, "vec_id", "embedding")
-    for options in ({}, {"pivots": 3, "block_rows": 50, "query_rows": 3, "sample_rows": 40}):
+    for options in ({}, {"pivots": 3, "block_rows": 50, "sample_rows": 40}, {"pivots": 2, "block_rows": 7, "sample_rows": 3}):
         assert found(search.top_k(vectors, F.col("vec_id") % 50 == 0, **options)) == by_hand(rows, lambda i: i % 50 == 0, 5)
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
     assert search.top_k(search.whole_vectors(one, "vec_id", "embedding"), F.col("vec_id") % 50 == 0).count() == 0
