@@ -26,6 +26,18 @@ def urls_sql(rule: Reputation) -> str:
     lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
     fits = lambda host, path: f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
     rules = (("example.com", "/de/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"), ("net", "/", "block"))
+    over, most = "sum((b - n * m) * (b - n * m) - n * m * (1 - m))", "sum(n * (n - 1) * m * (1 - m))"
+    strength = f"CASE WHEN coalesce({most}, 0) <= 0 THEN {rule.unfitted} WHEN {over} / {most} <= 0 THEN {rule.most_strength} ELSE least(greatest({most} / {over} - 1, {rule.least_strength}), {rule.most_strength}) END"
+
+    def level(name: str, groups: str) -> str:
+        """Groups with the strength s that is fitted to their scatter, and their posterior mean."""
+        return f"{name}_raw AS MATERIALIZED ({groups}), {name} AS MATERIALIZED (SELECT r.*, f.s, (b + f.s * m) / (n + f.s) AS mean FROM {name}_raw r, (SELECT {strength} AS s FROM {name}_raw) f)"
+
+    def total(begin: str, end: str) -> str:
+        """The bell's sum from one place to another, at the middles of equal steps."""
+        t = f"(centre + spread * ({begin} + ({end} - {begin}) * (i + 0.5) / {rule.places}))"
+        return f"({end} - {begin}) * list_sum(list_transform(range({rule.places}), lambda i: exp(x * {t} - (x + y) * ln(1 + exp({t})) - peak)))"
+
     case = lambda value: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{value(h, p, v)}'" for h, p, v in rules) + " END"
     return f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -38,11 +50,15 @@ two AS (SELECT *, array_to_string(s[greatest(len(s) - 1, 1):], '.') AS d2, array
 dom AS (SELECT host, n, b, CASE WHEN d2 IN ({suffixes}) THEN d3 ELSE d2 END AS domain FROM two),
 suf AS MATERIALIZED (SELECT *, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM dom),
 a AS (SELECT (sum(b) + 1.0) / (sum(n) + 2.0) AS m FROM suf),
-ms AS (SELECT suffix, (sum(b) + {rule.suffix_strength} * any_value(a.m)) / (sum(n) + {rule.suffix_strength}) AS m FROM suf, a GROUP BY 1),
-md AS (SELECT domain, (sum(b) + {rule.domain_strength} * any_value(ms.m)) / (sum(n) + {rule.domain_strength}) AS m FROM suf JOIN ms USING (suffix) GROUP BY 1),
-rated AS (SELECT host, n + {rule.host_strength} AS t, (b + {rule.host_strength} * m) / (n + {rule.host_strength}) AS rate FROM suf JOIN md USING (domain))
+{level("suffixes", "SELECT suffix, sum(n) AS n, sum(b) AS b, any_value(a.m) AS m FROM suf, a GROUP BY 1")},
+{level("domains", "SELECT domain, sum(suf.n) AS n, sum(suf.b) AS b, any_value(u.mean) AS m FROM suf JOIN suffixes u USING (suffix) GROUP BY 1")},
+{level("hosted", "SELECT host, suf.n, suf.b, u.mean AS m FROM suf JOIN domains u USING (domain)")},
+beta AS (SELECT host, b + s * m AS x, n - b + s * (1 - m) AS y FROM hosted),
+bell AS (SELECT *, ln(x / y) AS centre, sqrt(1 / x + 1 / y) AS spread FROM beta),
+cut AS (SELECT *, least(greatest((ln({rule.limit} / (1 - {rule.limit})) - centre) / spread, -{rule.wide}), {rule.wide}) AS cut, x * centre - (x + y) * ln(1 + exp(centre)) AS peak FROM bell),
+rated AS MATERIALIZED (SELECT host, above / (below + above) AS certainty FROM (SELECT host, {total(f"-{rule.wide}", "cut")} AS below, {total("cut", str(rule.wide))} AS above FROM cut))
 SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
-  coalesce({case(lambda h, p, v: v)}, CASE WHEN rate - {rule.z} * sqrt(rate * (1 - rate) / (t + 1)) > {rule.limit} THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({case(lambda h, p, v: v)}, CASE WHEN certainty >= {rule.certainty} THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN rated USING (host)
 """
 

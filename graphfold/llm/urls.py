@@ -1,13 +1,14 @@
 """URL filters by empirical-Bayes reputation: hosts shrink towards their domain, domains towards their suffix.
 
 Each level's labelled outcomes are beta-binomial. A level's prior mean is the posterior mean of the
-level above, its strength a parameter; the verdict follows a bound of the host's posterior. DataFrame
-operations only.
+level above, its strength is fitted to how far the level's outcomes scatter about these means; the
+verdict follows the host's posterior distribution. DataFrame operations only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,22 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Reputation:
-    """A host is blocked if its rate of bad pages lies above limit with the certainty of z standard deviations."""
+    """A host is blocked if its rate of bad pages lies above limit with at least this certainty.
+
+    long_suffixes stands for a full list of public suffixes, which is no part of this package and can be
+    given in its place; all other suffixes are a host's last label.
+    """
 
-    suffix_strength: float = 50.0  # labelled pages that the level above counts as
-    domain_strength: float = 20.0
-    host_strength: float = 10.0
     limit: float = 0.5
-    z: float = 1.645
+    certainty: float = 0.95
+    #: A strength is as many labelled pages as the level above counts; it is fitted within these borders,
+    #: and is unfitted where no group has two labelled pages.
+    least_strength: float = 0.1
+    most_strength: float = 10_000.0
+    unfitted: float = 1.0
+    #: Places at which the posterior is summed on each side of the limit, up to wide standard deviations.
+    places: int = 64
+    wide: float = 8.0
     #: Suffixes of two labels under which domains are registered.
     long_suffixes: tuple[str, ...] = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
     hot_rows: int = 100_000  # a host with more pages is joined apart
@@ -74,32 +84,71 @@ def suffix_of(domain: Column) -> Column:
     return F.when(place > 0, F.substr(domain, place + 1, F.length(domain))).otherwise(domain)
 
 
+def fitted(groups: DataFrame, n: str, b: str, mean: str, rule: Reputation) -> DataFrame:
+    """One row, the strength s of beta priors with the given means, by the method of moments.
+
+    b of n outcomes scatter by n m (1 - m) (1 + (n - 1) r) with r = 1 / (s + 1); the sums over all groups
+    of what is on both sides give r.
+    """
+    spread = F.col(mean) * (1 - F.col(mean))
+    sums = groups.agg(F.sum((F.col(b) - F.col(n) * F.col(mean)) * (F.col(b) - F.col(n) * F.col(mean)) - F.col(n) * spread).alias("over"), F.sum(F.col(n) * (F.col(n) - 1) * spread).alias("most"))
+    r = F.col("over") / F.col("most")
+    strength = F.when(F.coalesce(F.col("most"), F.lit(0.0)) <= 0, rule.unfitted).when(r <= 0, rule.most_strength).otherwise(F.least(F.greatest(1 / r - 1, F.lit(rule.least_strength)), F.lit(rule.most_strength)))
+    return sums.select(strength.alias("s"))
+
+
+def shrunk(groups: DataFrame, n: str, b: str, mean: str, rule: Reputation, name: str) -> DataFrame:
+    """groups with the posterior mean under name, and the fitted strength under s_name."""
+    strength = F.broadcast(fitted(groups, n, b, mean, rule).withColumnRenamed("s", f"s_{name}"))  # one row
+    return groups.crossJoin(strength).withColumn(name, (F.col(b) + F.col(f"s_{name}") * F.col(mean)) / (F.col(n) + F.col(f"s_{name}")))
+
+
+def chance_above(a: Column, b: Column, rule: Reputation) -> Column:
+    """The chance that a beta variable lies above the limit.
+
+    In log odds t its density is exp(a t) / (1 + exp(t))^(a + b), a bell; it is summed at the middles of
+    equal steps on each side of the limit.
+    """
+    spread = F.sqrt(1 / a + 1 / b)
+    centre = F.log(a / b)
+    cut = (F.lit(log(rule.limit / (1 - rule.limit))) - centre) / spread
+    cut = F.least(F.greatest(cut, F.lit(-rule.wide)), F.lit(rule.wide))
+    peak = a * centre - (a + b) * F.log1p(F.exp(centre))
+
+    def total(begin: Column, end: Column) -> Column:
+        def at(i: Column) -> Column:
+            t = centre + spread * (begin + (end - begin) * (i + 0.5) / rule.places)
+            return F.exp(a * t - (a + b) * F.log1p(F.exp(t)) - peak)
+
+        return (end - begin) * F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(rule.places - 1)), at), F.lit(0.0), lambda x, y: x + y)
+
+    below, above = total(F.lit(-rule.wide), cut), total(cut, F.lit(rule.wide))
+    return above / (below + above)
+
+
 def reputations(outcomes: DataFrame, rule: Reputation) -> DataFrame:
-    """(host, domain, suffix, n_labelled, n_bad, rate, bound) of each host of (host, labelled, bad).
+    """(host, domain, suffix, pages, n_labelled, n_bad, rate, certainty) of each host of (host, labelled, bad).
 
     Levels are summed from the hosts' sums, so that the pages are counted once, partially before they
-    are shuffled. With no labelled page at all, the prior is one half.
+    are shuffled. With no labelled page at all, the prior is one half. certainty is the posterior chance
+    that the host's rate lies above the limit.
     """
     hosts = written(outcomes.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"), F.count("*").alias("pages")).withColumn("domain", domain_of(F.col("host"), rule)).withColumn("suffix", suffix_of(F.col("domain"))), "hosts")
-    mean = lambda b, n, prior, strength: (b + strength * prior) / (n + strength)
     whole = hosts.agg(((F.coalesce(F.sum("b"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("m_all"))  # one row
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("b").alias("b_d"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_d").alias("n_s"), F.sum("b_d").alias("b_s")).crossJoin(F.broadcast(whole))
-    suffixes = suffixes.select("suffix", mean(F.col("b_s"), F.col("n_s"), F.col("m_all"), rule.suffix_strength).alias("m_s"))
-    domains = domains.join(suffixes, "suffix").select("domain", mean(F.col("b_d"), F.col("n_d"), F.col("m_s"), rule.domain_strength).alias("m_d"))
-    judged = hosts.join(domains, "domain")
-    a = F.col("b") + rule.host_strength * F.col("m_d")
-    total = F.col("n") + rule.host_strength
-    rate = a / total
-    bound = rate - rule.z * F.sqrt(rate * (1 - rate) / (total + 1))
-    return judged.select("host", "domain", "suffix", "pages", F.col("n").alias("n_labelled"), F.col("b").alias("n_bad"), rate.alias("rate"), bound.alias("bound"))
+    suffixes = shrunk(suffixes, "n_s", "b_s", "m_all", rule, "m_s").select("suffix", "m_s")
+    domains = written(shrunk(domains.join(suffixes, "suffix"), "n_d", "b_d", "m_s", rule, "m_d").select("domain", "m_d"), "domains")
+    judged = shrunk(hosts.join(domains, "domain"), "n", "b", "m_d", rule, "rate")
+    certainty = chance_above(F.col("b") + F.col("s_rate") * F.col("m_d"), F.col("n") - F.col("b") + F.col("s_rate") * (1 - F.col("m_d")), rule)
+    return judged.select("host", "domain", "suffix", "pages", F.col("n").alias("n_labelled"), F.col("b").alias("n_bad"), "rate", certainty.alias("certainty"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...], reputation: Reputation = Reputation(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:  # noqa: B008
-    """(page_id, host, path, rule, verdict, rate, bound) of every page.
+    """(page_id, host, path, rule, verdict, rate, certainty) of every page.
 
     outcomes: (page_id, bad) of labelled pages, bad null or 0 or 1; a page's bad label counts if any of
-    its rows says so. A rule's verdict stands; else a host whose bound exceeds the limit is blocked. A
+    its rows says so. A rule's verdict stands; else a host is blocked if its certainty suffices. A
     null url, and one without ://, has an empty host, which is judged like any other. Rows that repeat
     come out as often as they came in.
     """
@@ -111,12 +160,12 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...], r
     known = reputations(labelled.select("host", F.col("bad").isNotNull().cast("long").alias("labelled"), F.coalesce("bad", F.lit(0)).cast("long").alias("bad")), reputation)
     known = written(known, "reputations")
     # Hosts with very many pages are few: no more than hot_hosts of them, and joined without a shuffle of their pages.
-    hot = known.where(F.col("pages") > reputation.hot_rows).orderBy(F.desc("pages"), "host").limit(reputation.hot_hosts).select("host", "rate", "bound")
+    hot = known.where(F.col("pages") > reputation.hot_rows).orderBy(F.desc("pages"), "host").limit(reputation.hot_hosts).select("host", "rate", "certainty")
     hot = written(hot, "hot")
     apart = rows.join(F.broadcast(hot.select(F.col("host").alias("hot_host"))), F.col("host") == F.col("hot_host"), "left")
-    few = apart.where(F.col("hot_host").isNull()).drop("hot_host").join(known.select("host", "rate", "bound"), "host")
+    few = apart.where(F.col("hot_host").isNull()).drop("hot_host").join(known.select("host", "rate", "certainty"), "host")
     many = rows.join(F.broadcast(hot), "host")
-    names = ["page_id", "host", "path", "hit", "rate", "bound"]
+    names = ["page_id", "host", "path", "hit", "rate", "certainty"]
     judged = few.select(names).unionByName(many.select(names))
-    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("bound") > reputation.limit, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "rate", "bound")
+    verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("certainty") >= reputation.certainty, "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "rate", "certainty")

@@ -554,12 +554,47 @@ def test_urls(spark):
 def test_host_reputation(spark):
     pages = [(i, f"http://bad.site.example/{i}") for i in range(60)] + [(100 + i, f"http://good.site.example/{i}") for i in range(60)] + [(200, "http://new.site.example/")]
     labels = [(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(60)]
-    judged = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), (), urls.Reputation(hot_rows=50))
+    rule = urls.Reputation(hot_rows=50)
+    judged = urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), (), rule)
     verdicts = {r.host: (r.verdict, r.rate) for r in judged.collect()}
     assert judged.count() == 121
     assert [verdicts[f"{h}.site.example"][0] for h in ("bad", "good", "new")] == ["block", "allow", "allow"]
     everything = (40 + 1) / (100 + 2)
-    suffix = (40 + 50 * everything) / 150
-    domain = (40 + 20 * suffix) / 120
+
+    def strength(groups):
+        """Of (n, b, m): the root of what the scatter should be less what it is, by bisection."""
+        gap = lambda s: sum(n * m * (1 - m) * (1 + (n - 1) / (s + 1)) - (b - n * m) ** 2 for n, b, m in groups)
+        low, high = rule.least_strength, rule.most_strength
+        if gap(high) > 0 or gap(low) < 0:
+            return high if gap(high) > 0 else low
+        for _ in range(200):
+            low, high = (low, (low + high) / 2) if gap((low + high) / 2) < 0 else ((low + high) / 2, high)
+        return low
+
+    s = strength([(100, 40, everything)])
+    suffix = (40 + s * everything) / (100 + s)
+    s = strength([(100, 40, suffix)])
+    domain = (40 + s * suffix) / (100 + s)
+    s = strength([(40, 40, domain), (60, 0, domain), (0, 0, domain)])
     assert verdicts["new.site.example"][1] == pytest.approx(domain)
-    assert verdicts["bad.site.example"][1] == pytest.approx((40 + 10 * domain) / 50)
+    assert verdicts["bad.site.example"][1] == pytest.approx((40 + s * domain) / (40 + s), rel=1e-6) and s < 5  # hosts differ much
+
+
+def test_chance_above_a_limit(spark):
+    cases = [(0.3, 0.4), (2.0, 3.0), (40.0, 2.0), (7.5, 7.5), (300.0, 280.0), (0.05, 9.0), (5000.0, 100.0)]
+    rows = spark.createDataFrame(cases, "a double, b double").select("a", "b", *[urls.chance_above(F.col("a"), F.col("b"), urls.Reputation(limit=x)).alias(f"p{i}") for i, x in enumerate((0.5, 0.2))]).collect()
+    for r in rows:
+        t = np.linspace(-60, 60, 2_000_001)  # log odds
+        log_density = r.a * t - (r.a + r.b) * np.logaddexp(0, t)
+        density = np.exp(log_density - log_density.max())
+        for got, limit in ((r.p0, 0.5), (r.p1, 0.2)):
+            assert got == pytest.approx(density[t > np.log(limit / (1 - limit))].sum() / density.sum(), abs=2e-3)
+
+
+def test_urls_ties_long_and_missing(spark):
+    rules = (urls.Rule("b.org", "/x", "block"), urls.Rule("a.b.org", "", "allow"), urls.Rule("org", "", "block"))
+    pages = [(1, "http://a.b.org/x" + "y" * 100_000), (2, "http://z.org/" + "é" * 50_000 + "?q"), (None, "http://a.b.org/x"), (3, "http://" + "sub." * 2000 + "c.org")]
+    found = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(None, 1), (2, 0)], "page_id long, bad int"), rules).collect()}
+    assert found[1].rule == "a.b.org" and found[None].verdict == "allow"  # of b.org/x and a.b.org, equally long, the one that sorts first
+    assert found[1].path == "/x" + "y" * 100_000 and found[2].path == "/" + "é" * 50_000 and found[3].host == "sub." * 2000 + "c.org"
+    assert found[2].rule == found[3].rule == "org"
