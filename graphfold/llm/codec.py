@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphfold.llm.bpe import CHUNKS, PIECES, Vocabulary
-from graphfold.llm.common import map_batches, two_columns
+from graphfold.llm.common import map_batches, resident, two_columns
 from graphfold.llm.tokens import ByteEncoder
 
 #: Before a special token among the chunks of a text; no chunk of text has a space after a letter.
@@ -21,7 +21,7 @@ SPECIAL = "a "
 class Codec(ByteEncoder):
     """Encodes and decodes whole texts as the tokenizers library does with a byte-level BPE file."""
 
-    def __init__(self, path: str, keep: int = 100_000_000) -> None:
+    def __init__(self, path: str, keep: int = 60_000_000) -> None:
         super().__init__(None, keep)
         self.vocabulary = Vocabulary(path)
         found = sorted(self.vocabulary.special, key=len, reverse=True)
@@ -60,14 +60,9 @@ class Codec(ByteEncoder):
         return raw.decode("utf-8", "replace").encode()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One codec for each process and vocabulary."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

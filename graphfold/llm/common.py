@@ -48,6 +48,17 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+_RESIDENT: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """What a worker process keeps between tasks: the last thing asked for only, as workers serve one operator after the other."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and the text under names of their own, so that further columns of any name can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -7,7 +7,8 @@ its words. The language with the highest posterior wins.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, ship
+from graphfold.llm.common import map_batches, resident, ship
 from graphfold.llm.lattice import MARK, PieceMatcher, expected, forward, weights
 from graphfold.llm.wordtable import NumberTable, slabs, split
 from graphfold.plans.lineage import cut, drop
@@ -33,6 +34,7 @@ class LanguageModel:
     pieces: list[str]
     log_p: np.ndarray  # a row for each piece, a column for each language
     log_unknown: np.ndarray
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # workers know the model, and while it is fitted its pieces, by it
 
 
 def vocabulary(path: str) -> list[str]:
@@ -86,7 +88,7 @@ def fit(training: DataFrame, vocabulary_path: str, text_col: str = "text", lang_
 #: Parts that the training words are dealt to.
 SPREAD = 32
 #: Letters of training words that are gone through at once.
-LETTERS_AT_ONCE = 200_000
+LETTERS_AT_ONCE = 20_000
 #: Expectations are summed as whole numbers of this share, so that their order doesn't matter.
 UNIT = 2.0**-20
 
@@ -111,7 +113,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
     sent = words.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary, whatever the input
 
     def run(batches):
-        matcher = matcher_of(sent.value.pieces)
+        matcher = resident(("matcher", sent.value.name), lambda: PieceMatcher(sent.value.pieces))
         held: list[pa.RecordBatch] = []
         letters = 0
 
@@ -139,17 +141,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
     pooled /= pooled.sum()
     smooth = gathered + prior * size * 1e-2 * pooled[:, None]
     log_p = np.log(smooth / smooth.sum(0))
-    return LanguageModel(model.languages, model.pieces, log_p, log_p.min(0) - 1)
-
-
-#: The last vocabulary's, kept between tasks.
-_MATCHERS: list[tuple[list[str], PieceMatcher]] = []
-
-
-def matcher_of(pieces: list[str]) -> PieceMatcher:
-    if not _MATCHERS or _MATCHERS[0][0] != pieces:
-        _MATCHERS[:] = [(pieces, PieceMatcher(pieces))]
-    return _MATCHERS[0][1]
+    return LanguageModel(model.languages, model.pieces, log_p, log_p.min(0) - 1, model.name)
 
 
 class Scorer(NumberTable):
@@ -158,7 +150,7 @@ class Scorer(NumberTable):
     def __init__(self, model: LanguageModel, keep: int = 60_000_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
         self.model = model
-        self.matcher = matcher_of(model.pieces)
+        self.matcher = PieceMatcher(model.pieces)
 
     def learn(self, chunks: list[str]) -> None:
         """Score chunks that are new: each run of letters in them is a word."""
@@ -185,10 +177,6 @@ class Scorer(NumberTable):
         return total[:, :-1], total[:, -1] > 0
 
 
-#: The last model's, kept between tasks.
-_SCORERS: list[Scorer] = []
-
-
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang_pred, score) of every row, from its whole text, after the columns named in carry.
 
@@ -202,9 +190,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
     labels = [*rows.columns[:-1], "lang_pred", "score"]
 
     def make():
-        if not _SCORERS or _SCORERS[0].model is not sent.value:
-            _SCORERS[:] = [Scorer(sent.value)]
-        scorer = _SCORERS[0]
+        scorer = resident(("scorer", sent.value.name), lambda: Scorer(sent.value))
         names = np.array([*scorer.model.languages, UNDETERMINED], object)
 
         def step(batch: pa.RecordBatch):

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, two_columns
+from graphfold.llm.common import map_batches, resident, two_columns
 from graphfold.llm.lattice import MARK, PieceMatcher, best_counts
 from graphfold.llm.wordtable import NumberTable, slabs, split
 
@@ -58,9 +58,6 @@ class Counter(NumberTable):
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, n_tokens) of every row's whole text.
 
@@ -69,9 +66,7 @@ def token_counts(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     """
 
     def make():
-        if vocabulary_path not in _COUNTERS:
-            _COUNTERS[vocabulary_path] = Counter(scored_pieces(vocabulary_path))
-        counter = _COUNTERS[vocabulary_path]
+        counter = resident(("counter", vocabulary_path), lambda: Counter(scored_pieces(vocabulary_path)))
 
         def step(batch: pa.RecordBatch):
             counts = counter.count(batch.column(1))

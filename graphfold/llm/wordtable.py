@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slabs(texts: pa.Array, limit: int = 6_000_000) -> Iterator[pa.Array]:
+def slabs(texts: pa.Array, limit: int = 4_000_000) -> Iterator[pa.Array]:
     """A string array in slices of about so many bytes, an empty text for null."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
@@ -30,7 +30,7 @@ def split(texts: pa.Array, at: str) -> tuple[pa.Array, np.ndarray]:
 #: Bytes that a word takes in a table besides its own.
 OVERHEAD = 150
 #: Bytes of words that are worked out at once, so that what a word is worked out with stays small.
-PORTION = 200_000
+PORTION = 20_000
 
 
 class WordTable:
@@ -113,7 +113,7 @@ class IdTable(WordTable):
 
     weight = 6  # a byte is an id of four bytes at most
 
-    def __init__(self, keep: int = 100_000_000) -> None:
+    def __init__(self, keep: int = 60_000_000) -> None:
         super().__init__(keep)
         self.forget()
 
