@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from graphfold.llm.bpe import CHUNKS, PIECES, Vocabulary
-from graphfold.llm.common import map_batches, resident, two_columns
+from graphfold.llm.common import map_batches, publish, published, resident, two_columns
 from graphfold.llm.tokens import ByteEncoder
 
 #: Before a special token among the chunks of a text; no chunk of text has a space after a letter.
@@ -62,11 +62,12 @@ class Codec(ByteEncoder):
 
 def codec(path: str) -> Codec:
     """One codec for each process and vocabulary."""
-    return resident(("codec", path), lambda: Codec(path))
+    return resident(("codec", path), lambda: Codec(published(path)))
 
 
 def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids binary): little-endian unsigned 32-bit ids of every whole text. A null or empty text has none."""
+    publish(df.sparkSession, vocabulary_path)
 
     def make():
         own = codec(vocabulary_path)
@@ -82,6 +83,7 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
 
 def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of encode(). Null ids give an empty text."""
+    publish(df.sparkSession, vocabulary_path)
 
     def make():
         own = codec(vocabulary_path)
@@ -100,6 +102,7 @@ def round_trip(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text
 
     A null or empty text has 0 tokens and the digests of nothing. Rows that repeat come out as often as they came in.
     """
+    publish(df.sparkSession, vocabulary_path)
 
     def make():
         own = codec(vocabulary_path)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     return df.mapInArrow(run, schema)
 
 
+def publish(spark: SparkSession, path: str) -> None:
+    """Send a vocabulary file along with the code, for executors that don't have the driver's folders."""
+    spark.sparkContext.addFile(path)
+
+
+def published(path: str) -> str:
+    """Where a published file lies on this machine."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 _RESIDENT: dict = {}
 
 

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, resident, two_columns
+from graphfold.llm.common import map_batches, publish, published, resident, two_columns
 from graphfold.llm.lattice import MARK, PieceMatcher, best_counts
 from graphfold.llm.wordtable import NumberTable, slabs, split
 
@@ -64,9 +64,10 @@ def token_counts(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", te
     A null or empty text has 0 of each. A line feed, and any character that is no piece, counts as its
     bytes. Rows that repeat come out as often as they came in.
     """
+    publish(df.sparkSession, vocabulary_path)
 
     def make():
-        counter = resident(("counter", vocabulary_path), lambda: Counter(scored_pieces(vocabulary_path)))
+        counter = resident(("counter", vocabulary_path), lambda: Counter(scored_pieces(published(vocabulary_path))))
 
         def step(batch: pa.RecordBatch):
             counts = counter.count(batch.column(1))

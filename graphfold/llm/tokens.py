@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 
 from graphfold.llm.bpe import CHUNKS, SPACE, byte_letters
-from graphfold.llm.common import resident
+from graphfold.llm.common import published, resident
 from graphfold.llm.wordtable import IdTable, slabs, split
 
 #: Pre-tokens that are kept have so many characters at most, and are so many.
@@ -144,6 +144,6 @@ class RankEncoder(ByteEncoder):
         self.append(np.fromiter((x for ids in out for x in ids), np.uint32, int(counts.sum())), counts)
 
 
-def encoder(kind: type[Encoder], *args) -> Encoder:
-    """One encoder for each process and vocabulary."""
-    return resident((kind.__name__, *args), lambda: kind(*args))
+def encoder(kind: type[Encoder], path: str, *args) -> Encoder:
+    """One encoder for each process and vocabulary, whose file has been published."""
+    return resident((kind.__name__, path, *args), lambda: kind(published(path), *args))
