@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -39,14 +42,24 @@ def ship(spark: SparkSession) -> None:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: str) -> DataFrame:
     """Apply a function of Arrow batches; make() is called once in each task and may keep state between batches."""
-    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
             yield from step(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_tasks(df, run, schema)
+
+
+def map_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with this package at hand, after which a worker's memory is handed back but for its resident table."""
+    ship(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def publish(spark: SparkSession, path: str) -> None:
@@ -66,10 +79,19 @@ def resident(key: tuple, make: Callable[[], object]):
     """What a worker process keeps between tasks: the last thing asked for only, as workers serve one operator after the other."""
     if key not in _RESIDENT:
         _RESIDENT.clear()
+        hand_back()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 
 
+def hand_back() -> None:
+    """Give memory that is no longer in use back to the machine, which the allocators of a worker else keep until it ends."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def two_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and the text under names of their own, so that further columns of any name can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, resident, ship
+from graphfold.llm.common import map_batches, map_tasks, resident
 from graphfold.llm.lattice import MARK, PieceMatcher, expected, forward, weights
 from graphfold.llm.wordtable import NumberTable, slabs, split
 from graphfold.plans.lineage import cut, drop
@@ -109,7 +109,6 @@ def expectations(matcher: PieceMatcher, model: LanguageModel, lang: np.ndarray,
 
 def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> LanguageModel:
     """The model after one round. The pooled model, and under it an even floor, smooth each language's."""
-    ship(words.sparkSession)
     sent = words.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary, whatever the input
 
     def run(batches):
@@ -131,7 +130,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
         if held:
             yield used()
 
-    found = words.mapInArrow(run, "cell long, units long").groupBy("cell").agg(F.sum("units").alias("units")).toArrow()
+    found = map_tasks(words, run, "cell long, units long").groupBy("cell").agg(F.sum("units").alias("units")).toArrow()
     size, n = model.log_p.shape
     gathered = np.zeros(size * n)
     gathered[found["cell"].to_numpy()] = found["units"].to_numpy() * UNIT
@@ -147,7 +146,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
 class Scorer(NumberTable):
     """Log probabilities of texts under each language; those of white-space separated chunks are kept for reuse."""
 
-    def __init__(self, model: LanguageModel, keep: int = 60_000_000) -> None:
+    def __init__(self, model: LanguageModel, keep: int = 40_000_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
         self.model = model
         self.matcher = PieceMatcher(model.pieces)

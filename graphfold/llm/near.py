@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphfold.llm.common import map_batches, two_columns, with_ids
+from graphfold.llm.common import map_batches, resident, two_columns, with_ids
 from graphfold.llm.wordtable import slabs
 from graphfold.operators.components import components
 from graphfold.plans.lineage import cut, drop
@@ -118,7 +118,7 @@ def sketches(docs: DataFrame, rule: NearRule) -> DataFrame:
     """(doc_id, n_shingles, key, sig, bands) of (doc_id, text): key is a digest of the set, null if it is empty."""
 
     def make():
-        sketcher = Sketcher(rule)
+        sketcher = resident(("sketcher", rule), lambda: Sketcher(rule))
 
         def step(batch: pa.RecordBatch):
             at = 0
@@ -211,7 +211,7 @@ def grams(texts: DataFrame, rule: NearRule) -> DataFrame:
     """(doc_id, grams): the hashes of each text's set."""
 
     def make():
-        sketcher = Sketcher(rule)
+        sketcher = resident(("sketcher", rule), lambda: Sketcher(rule))
 
         def step(batch: pa.RecordBatch):
             at = 0

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphfold.llm.common import publish, ship, two_columns
+from graphfold.llm.common import map_tasks, publish, two_columns
 from graphfold.llm.tokens import RankEncoder, encoder
 
 
@@ -101,9 +101,8 @@ def pack_sequences(df: DataFrame, ranks_path: str, pattern: str, end_id: int, ca
         if held:
             yield lay(held)
 
-    ship(df.sparkSession)
     publish(df.sparkSession, ranks_path)
-    return two_columns(df, id_col, text_col).mapInArrow(run, SEQUENCES)
+    return map_tasks(two_columns(df, id_col, text_col), run, SEQUENCES)
 
 
 def write_packed(sequences: DataFrame, path: str) -> None:

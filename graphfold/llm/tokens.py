@@ -17,7 +17,7 @@ from graphfold.llm.common import published, resident
 from graphfold.llm.wordtable import IdTable, slabs, split
 
 #: Pre-tokens that are kept have so many characters at most, and are so many.
-PART, PARTS = 40, 200_000
+PART, PARTS = 40, 100_000
 #: No text that is cut at spaces in bulk holds this character.
 CUT = "\x00"
 #: The pre-tokens of the tokenizer that drops white space.
@@ -29,7 +29,7 @@ SETTLED = re.compile(r"[\x20-\u02af]*")
 class Encoder(IdTable):
     """Ids of texts as little-endian unsigned 32-bit integers, the end id after each, if there is one."""
 
-    def __init__(self, end: int | None = None, keep: int = 60_000_000) -> None:
+    def __init__(self, end: int | None = None, keep: int = 30_000_000) -> None:
         super().__init__(keep)
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
 
@@ -55,7 +55,7 @@ class WordEncoder(Encoder):
     distinct pre-token is encoded once by the library's model.
     """
 
-    def __init__(self, path: str, end: int, keep: int = 60_000_000) -> None:
+    def __init__(self, path: str, end: int, keep: int = 30_000_000) -> None:
         super().__init__(end, keep)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -128,7 +128,7 @@ class ByteEncoder(Encoder):
 class RankEncoder(ByteEncoder):
     """Of a file of byte-level ranks; special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, pattern: str, end: int, keep: int = 60_000_000) -> None:
+    def __init__(self, path: str, pattern: str, end: int, keep: int = 30_000_000) -> None:
         super().__init__(end, keep)
         import base64
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from graphfold.llm.common import publish, ship, two_columns
+from graphfold.llm.common import map_tasks, publish, two_columns
 from graphfold.llm.tokens import WordEncoder, encoder
 
 
@@ -151,6 +151,5 @@ def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacit
         if held:
             yield lay(held)
 
-    ship(df.sparkSession)
     publish(df.sparkSession, vocabulary_path)
-    return two_columns(df, id_col, text_col).mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return map_tasks(two_columns(df, id_col, text_col), run, PIECES + (", ids binary" if with_ids else ""))
