@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphfold.functions.sequences import replace_all
+from graphfold.plans.lineage import cut
+
 
 def canonical(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """The smaller end first."""
@@ -38,6 +41,46 @@ def ball(edges: DataFrame, depth: int, centres: DataFrame | None = None) -> Data
     return reach.where(F.col("node") != F.col("member"))
 
 
+def bfs_levels(edges: DataFrame, sources: DataFrame, depth: int | None = None) -> DataFrame:
+    """(source, node, level): the steps from each source (source) to all nodes that it reaches, itself at 0.
+
+    Ordered by level and node, these are the nodes as a breadth-first walk meets them that goes through
+    neighbours in order. Level by level: the frontier meets the adjacency, and what was met before goes.
+    """
+    near = cut(neighbours(edges).select(F.col("node").alias("at"), F.col("neighbour").alias("node")), "adjacency")
+    frontier = cut(sources.select("source", F.col("source").alias("node"), F.lit(0).alias("level")).distinct(), "frontier")
+    met, level = frontier, 0
+    while depth is None or level < depth:
+        level += 1
+        reached = frontier.select("source", F.col("node").alias("at")).join(near, "at").select("source", "node").distinct()
+        frontier = cut(reached.join(met.select("source", "node"), ["source", "node"], "left_anti").withColumn("level", F.lit(level)), "frontier")
+        if not frontier.limit(1).count():
+            break
+        met = met.unionByName(frontier)
+    return met
+
+
+#: What a list in a string is written with.
+LIST_MARKS = {"[": "", "]": "", "'": ""}
+
+
+def single_genome(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (attributes map<string,string>) of one genome's graph in the form that merges: its member is 0.
+
+    Lists written into a string lose their marks, flags become 0 or 1.
+    """
+    value = lambda k: F.element_at("attributes", F.lit(k))
+    flag = lambda k: F.when(F.lower(value(k)).isin("true", "1"), "1").otherwise("0")
+    plain = {k: replace_all(F.coalesce(value(k), F.lit("")), LIST_MARKS) for k in ("centroid", "dna", "protein")}
+    fixed = {"members": F.lit("0"), **plain, **{k: flag(k) for k in ("hasEnd", "mergedDNA", "paralog")}}
+
+    def with_values(frame: DataFrame, values: dict) -> DataFrame:
+        rest = F.map_filter("attributes", lambda k, v: ~k.isin(*values))
+        return frame.withColumn("attributes", F.map_concat(rest, F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])))
+
+    return with_values(nodes, fixed), with_values(edges, {"members": F.lit("0"), "genomeIDs": F.lit("0")})
+
+
 def relabel(df: DataFrame, mapping: DataFrame, columns: list[str], old: str = "old", new: str = "new") -> DataFrame:
     """df with the columns' labels replaced where the mapping (old, new) has them."""
     for c in columns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -510,19 +511,18 @@ def fasta_export_lines(t: Tables) -> DataFrame:
     return files.fasta_lines(fx.sequences(t)).select(F.md5("value").alias("line"))
 
 
-@query()
+@query("SELECT 'node' AS part, n_nationkey AS u, n_regionkey AS v, n_name AS label FROM nation UNION ALL SELECT 'edge', a.n_nationkey, b.n_nationkey, a.n_name || '&' || b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def gml_roundtrip(t: Tables) -> DataFrame:
     """Regions and nations as a graph, written as GML and read again."""
     from graphfold.plans.lineage import shared_dir
 
     nodes = t.nation.select(F.col("n_nationkey").cast("long").alias("node_id"), F.col("n_name").alias("label"), F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("attributes"))
     edges_ = t.nation.alias("a").join(t.nation.alias("b"), F.expr("a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey")).select(F.col("a.n_nationkey").cast("long").alias("u"), F.col("b.n_nationkey").cast("long").alias("v"), F.create_map(F.lit("name"), F.concat_ws("&", "a.n_name", "b.n_name")).alias("attributes"))
-    path = f"{shared_dir(t.spark)}/gml-{id(nodes)}"
+    path = f"{shared_dir(t.spark)}/gml-{uuid.uuid4().hex}"
     gml.write_graph(nodes, edges_, path)
-    text = t.spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("f"))
-    whole = "\n".join(r["value"].rstrip("\n") for r in text.orderBy("f").collect())  # 25 nations
-    found, lines, _ = gml.graph_rows(whole, 1)
-    return t.spark.createDataFrame([("node", n[1], n[1], n[2]) for n in found] + [("edge", e[1], e[2], e[3]["name"]) for e in lines], "part string, u long, v long, label string")
+    found, lines = gml.read_graphs(t.spark, [path])
+    value = lambda k: F.element_at("attributes", F.lit(k))
+    return found.select(F.lit("node").alias("part"), F.col("node_id").alias("u"), value("region").cast("long").alias("v"), "label").unionByName(lines.select(F.lit("edge").alias("part"), "u", "v", value("name").alias("label")))
 
 
 @query(sql("SELECT node_id, count(DISTINCT member) AS size, coalesce(d, 0) AS degree FROM f_support LEFT JOIN (SELECT node, count(*) AS d FROM (SELECT u AS node FROM e UNION ALL SELECT v FROM e) GROUP BY node) ON node = node_id GROUP BY node_id, d", "f_support", "f_edge", more="e AS (SELECT DISTINCT u, v FROM f_edge)"))
@@ -543,3 +543,67 @@ def fold_all_graphs(t: Tables) -> DataFrame:
 def last_writer_clusters(t: Tables) -> DataFrame:
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return evaluate.last_cluster(rows, "c_custkey", "c_mktsegment", ["o_orderkey"]).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+SEARCHED = "d AS (SELECT node, count(*) AS n FROM (SELECT u AS node FROM f_edge2 UNION ALL SELECT v FROM f_edge2) GROUP BY node), genome AS (SELECT c_custkey AS member FROM customer WHERE c_mktsegment = 'BUILDING')"
+
+
+@query(sql("SELECT node FROM d WHERE n >= 3 AND node IN (SELECT node_id FROM f_support JOIN genome USING (member))", "f_support", "f_edge2", more=SEARCHED))
+def family_search_space(t: Tables) -> DataFrame:
+    members = merge.merge_members(fx.support(t)).withColumnRenamed("node_id", "node")
+    genomes = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("member"))
+    return cluster.search_space(cut(fx.edges2(t), "edges"), members, genomes)
+
+
+AROUND = "ends AS (SELECT u AS node, u, v, member FROM f_edge UNION ALL SELECT v, u, v, member FROM f_edge), around AS (SELECT DISTINCT x, y, u, v, member FROM (SELECT x, y, x AS node FROM f_ident UNION ALL SELECT x, y, y FROM f_ident) JOIN ends USING (node)), crowded AS (SELECT x, y FROM around GROUP BY x, y, member HAVING count(*) > 3)"
+
+
+@query(sql("SELECT x AS a, y AS b, ident FROM f_ident WHERE (x, y) NOT IN (SELECT (x, y) FROM crowded)", "f_ident", "f_edge", more=AROUND))
+def edge_member_guard(t: Tables) -> DataFrame:
+    return cluster.edge_member_guard(cut(pairs_of(t), "pairs"), cut(fx.edges(t), "edges"))
+
+
+WALK = f"{ADJACENT}, walk AS (SELECT p_partkey AS source, p_partkey AS node, 0 AS level FROM part WHERE p_size = 1 UNION SELECT w.source, a.member, w.level + 1 FROM walk w JOIN adj a ON a.node = w.node WHERE w.level < 3)"
+
+
+@query(sql("SELECT source, node, min(level) AS level FROM walk GROUP BY source, node", "f_edge2", more=WALK))
+def breadth_first_levels(t: Tables) -> DataFrame:
+    return graph.bfs_levels(fx.edges2(t), t.part.where("p_size = 1").select(F.col("p_partkey").alias("source")), 3)
+
+
+@query("SELECT p_partkey, regexp_replace(p_name || '_target_' || p_size, '_target.*$', '_g1') AS first, regexp_replace(p_name || '_target_' || p_size, '_target.*$', '') AS later, replace(replace('[' || p_name || ']' || p_type, '[', ''), ']', '') AS plain FROM part")
+def label_cleaning(t: Tables) -> DataFrame:
+    label = F.concat_ws("_target_", "p_name", F.col("p_size").cast("string"))
+    listed = F.concat(F.lit("["), F.col("p_name"), F.lit("]"), F.col("p_type"))
+    return t.part.select("p_partkey", sf.without_target(label, 1).alias("first"), sf.without_target(label).alias("later"), sf.replace_all(listed, graph.LIST_MARKS).alias("plain"))
+
+
+STORED = (
+    "per AS (SELECT graph_ord, node_id, count(*) AS n FROM f_support GROUP BY 1, 2), "
+    "k AS (SELECT node_id, max(graph_ord) AS last_iteration, min(graph_ord) AS first_graph, arg_max(n, graph_ord) AS size, CAST(sum(n) AS BIGINT) AS total, count(*) AS n_lengths FROM per GROUP BY 1), "
+    "m AS (SELECT node_id, count(DISTINCT member) AS n_members FROM f_support GROUP BY 1), "
+    "deg AS (SELECT node AS node_id, count(DISTINCT other) AS degrees FROM (SELECT graph_ord, u AS node, v AS other FROM f_edge UNION ALL SELECT graph_ord, v, u FROM f_edge) e JOIN k ON k.node_id = e.node WHERE e.graph_ord <= k.last_iteration GROUP BY 1)"
+)
+
+
+@query(sql("SELECT CAST(node_id AS VARCHAR) AS node_id, size, coalesce(degrees, 0) AS degrees, last_iteration, 'g' || first_graph AS annotation, n_members, total, n_lengths FROM k JOIN m USING (node_id) LEFT JOIN deg USING (node_id)", "f_support", "f_edge", more=STORED))
+def store_after_fold(t: Tables) -> DataFrame:
+    """The store after a step for each region's graph, whose nodes have one key: only what a graph has is touched by its step."""
+    from graphfold.plans import run
+    from graphfold.plans.lineage import shared_dir
+
+    text = lambda df, columns: df.withColumns({c: F.col(c).cast("string") for c in columns})
+    s, e = cut(text(fx.support(t), ["node_id", "member"]), "support"), cut(text(fx.edges(t), ["u", "v", "member"]), "edges")
+    kept, base = store.Store(t.spark, f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}"), None
+    for g in [r[0] for r in s.select("graph_ord").distinct().orderBy("graph_ord").collect()]:  # one for each region
+        own = s.where(F.col("graph_ord") == g)
+        nodes = own.select("node_id").distinct()
+        attributes = nodes.select("node_id", F.lit(f"g{g}").alias("annotation"), *[F.lit(None).alias(c) for c in run.ATTRIBUTES if c != "annotation"])
+        lists = own.groupBy("node_id").agg(F.count("*").cast("string").alias("value")).select("node_id", F.lit("length").alias("kind"), "value")
+        new = run.Component(merge.Graph(nodes, own.select("node_id", "member"), e.where(F.col("graph_ord") == g).select("u", "v", "member")), nodes, lists, attributes)
+        moved = None if base is None else cut(nodes.join(base.nodes, "node_id", "left_semi").select(F.col("node_id").alias("old"), F.col("node_id").alias("new")), "moved")
+        base = new.graph if base is None else merge.united(base, new.graph).cut()
+        kept.apply(run.deltas([(new, moved)], base, g))
+    size = kept.table("node_members").groupBy("node_id").agg(F.count("*").alias("n_members"))
+    lengths = kept.table("node_lengths").groupBy("node_id").agg(F.sum(F.col("length").cast("long") * F.col("count")).alias("total"), F.sum("count").alias("n_lengths"))
+    return kept.table("nodes").select("node_id", "size", "degrees", "last_iteration", "annotation").join(size, "node_id").join(lengths, "node_id")

@@ -135,11 +135,17 @@ class GmlReader(DataSourceReader):
 
 
 def read_graphs(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of all files, in the order of the list, through Spark's binary reader."""
+    """nodes and edges of all files, in the order of the list, through Spark's binary reader.
+
+    A path may be a folder of parts, as write_graph() leaves it; a graph is one text and so one task's.
+    """
     order = spark.createDataFrame(list(enumerate(paths, 1)), "graph_ord int, given string")
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     strip = lambda c: F.regexp_replace(c, r"^[a-z]+:/+", "/")
-    texts = files.join(F.broadcast(order), strip(F.col("path")) == strip(F.col("given"))).select("graph_ord", F.decode("content", "utf-8").alias("text"))  # one row for each file of the list
+    own, given = strip(F.col("path")), strip(F.regexp_replace("given", "/+$", ""))
+    parts = files.join(F.broadcast(order), (own == given) | (F.regexp_replace(own, "/[^/]*$", "") == given))  # one row for each file of the list
+    held = parts.groupBy("graph_ord").agg(F.array_sort(F.collect_list(F.struct("path", F.decode("content", "utf-8").alias("text")))).alias("parts"))
+    texts = held.select("graph_ord", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"))
 
     def rows(part: int):
         def run(frames):

@@ -228,3 +228,106 @@ def test_complete_similarity_join(spark):
     frame = spark.createDataFrame(texts, "id string, seq string")
     assert rows(simjoin.complete(frame), "query", "target") == wanted
     assert rows(simjoin.complete(frame, frame).where("query < target"), "query", "target") == wanted
+
+
+def test_breadth_first_order(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 4), (7, 8)], "u long, v long")
+    found = graph.bfs_levels(edges, spark.createDataFrame([(1,), (7,), (9,)], "source long"))
+    assert rows(found) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 2), (1, 5, 1), (7, 7, 0), (7, 8, 1), (9, 9, 0)]
+
+
+def test_guard_of_crowded_pairs(spark):
+    edges = spark.createDataFrame([("a", x, 1) for x in "cde"] + [("b", "f", 1), ("b", "f", 2), ("p", "q", 1)], "u string, v string, member int")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "p"), ("b", "p")], "a string, b string")
+    assert rows(cluster.edge_member_guard(pairs, edges)) == [("b", "p")]
+
+
+def test_search_space_of_families(spark):
+    edges = spark.createDataFrame([("a", x) for x in "bcd"] + [("b", "c"), ("b", "d")], "u string, v string")
+    members = spark.createDataFrame([("a", 1), ("b", 2)], "node string, member int")
+    assert rows(cluster.search_space(edges, members)) == [("a",), ("b",)]
+    assert rows(cluster.search_space(edges, members, spark.createDataFrame([(2,)], "member int"))) == [("b",)]
+
+
+def test_families_never_hold_a_member_twice(spark):
+    rng = random.Random(8)
+    edges = [(f"n{i}", f"n{j}") for i in range(30) for j in range(i) if rng.random() < 0.2]
+    members = [(f"n{i}", m) for i in range(30) for m in rng.sample(range(40), 3)]
+    identities = [(f"n{j}", f"n{i}", 0.9) for i in range(30) for j in range(i) if rng.random() < 0.3]
+    found = cluster.collapse_families(spark.createDataFrame(edges, "u string, v string"), spark.createDataFrame(members, "node string, member int"), spark.createDataFrame(identities, "x string, y string, ident double"))
+    family = dict(map(tuple, found.collect()))
+    held = {}
+    for node, member in set(members):
+        held.setdefault(family[node], []).append(member)
+    assert all(len(set(m)) == len(m) for m in held.values()) and len(set(family.values())) < len(family)
+    assert all(family[f] == f and f <= n for n, f in family.items())
+    # By hand: at each depth, linked groups are split in order of support, and a part becomes its smallest node.
+    wanted = {n: n for n in family}
+    for depth in (1, 2, 3):
+        near = {}
+        for u, v in edges:
+            u, v = wanted[u], wanted[v]
+            if u != v:
+                near.setdefault(u, set()).add(v)
+                near.setdefault(v, set()).add(u)
+        similar = {frozenset((wanted[x], wanted[y])) for x, y, _ in identities if wanted[x] != wanted[y]}
+        reach = {n: {n} for n in near}
+        for _ in range(depth):
+            reach = {n: r.union(*(near[x] for x in r)) for n, r in reach.items()}
+        root = {n: n for n in set(wanted.values())}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, r in reach.items():
+            for b in r:
+                if frozenset((a, b)) in similar:
+                    a_, b_ = find(a), find(b)
+                    root[max(a_, b_)] = min(a_, b_)
+        own = {}
+        for n, m in set(members):
+            own.setdefault(wanted[n], set()).add(m)
+        groups = {}
+        for n in root:
+            groups.setdefault(find(n), []).append(n)
+        to = {}
+        for nodes in groups.values():
+            parts = []
+            for n in sorted(nodes, key=lambda n: (-len(own.get(n, ())), n)):
+                part = next((p for p in parts if not p[1] & own.get(n, set())), None)
+                if part is None:
+                    part = ([], set())
+                    parts.append(part)
+                part[0].append(n)
+                part[1].update(own.get(n, set()))
+            to |= {n: min(p) for p, _ in parts for n in p}
+        wanted = {n: to[f] for n, f in wanted.items()}
+    assert family == wanted
+
+
+def test_both_strands_and_aligned_parts(spark):
+    rng = random.Random(9)
+    turn = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    one, two = dna(120), dna(120)
+    changed = one[:50] + "A" + one[51:]
+    items = spark.createDataFrame([("a", one), ("b", turn(changed)), ("c", two), ("d", two)], "id string, seq string")
+    found = {(r.query, r.target): (round(r.ident, 3), r.reversed) for r in simjoin.similar_both_strands(items).collect()}
+    assert found == {("a", "b"): (1.0 if changed == one else round(1 - 1 / 120, 3), True), ("c", "d"): (1.0, False)}
+    target = dna(30) + turn(one[:60]) + dna(30)
+    frame = spark.createDataFrame([(one[:60], target), (target[10:40], target), ("", target), (None, target)], "q string, t string")
+    rows_ = [r.x for r in frame.select(sf.aligned_part(F.col("q"), F.col("t")).alias("x")).collect()]
+    assert (rows_[0].identity, rows_[0].start, rows_[0].end, rows_[0].reversed, rows_[0].part) == (1.0, 30, 90, True, one[:60])
+    assert (rows_[1].start, rows_[1].end, rows_[1].reversed, rows_[1].part) == (10, 40, False, target[10:40])
+    assert rows_[2].part is None and rows_[3].identity is None
+
+
+def test_one_genome_in_the_form_that_merges(spark):
+    kind = "node_id long, label string, attributes map<string,string>"
+    nodes = spark.createDataFrame([(0, "x", {"members": "7", "centroid": "['0_1']", "hasEnd": "True", "paralog": "0", "dna": "[ACG]"})], kind)
+    edges = spark.createDataFrame([(0, 1, {"members": "7", "k": "v"})], "u long, v long, attributes map<string,string>")
+    n, e = graph.single_genome(nodes, edges)
+    assert n.first().attributes == {"members": "0", "centroid": "0_1", "dna": "ACG", "protein": "", "hasEnd": "1", "mergedDNA": "0", "paralog": "0"}
+    assert e.first().attributes == {"k": "v", "members": "0", "genomeIDs": "0"}
