@@ -376,13 +376,20 @@ def cluster_id_overlap(t: Tables) -> DataFrame:
     return evaluate.id_overlap(t.documents.select(F.col("doc_id").alias("item")), t.labels.select(F.col("doc_id").alias("item")))
 
 
-#: Long k-mers, for whole texts share short ones by chance.
-K = 40
+#: Of texts of more letters than SHORT, long k-mers are asked for, as whole texts share short ones by chance.
+K, SHORT = 40, 700
+SHARED_LONG = (
+    f"gram AS MATERIALIZED (SELECT DISTINCT id, n, hash(substr(seq, i, {K})) AS g FROM (SELECT id, seq, length(seq) AS n, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM f_seq)), "
+    "met AS MATERIALIZED (SELECT a.id AS query, b.id AS target FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) "
+    f"WHERE greatest(a.n, b.n) > {SHORT} GROUP BY 1, 2 HAVING count(*) >= 8 "
+    f"UNION ALL SELECT a.id, b.id FROM f_seq a JOIN f_seq b ON a.id < b.id WHERE length(a.seq) <= {SHORT} AND length(b.seq) <= {SHORT} AND least(length(a.seq), length(b.seq)) >= 0.7 * greatest(length(a.seq), length(b.seq)))"
+)
+EDITS = "levenshtein(a.seq, b.seq) / CAST(greatest(length(a.seq), length(b.seq), 1) AS DOUBLE)"
 
 
-@query(sql("SELECT query, target, n_shared, round(1 - levenshtein(a.seq, b.seq) / CAST(greatest(length(a.seq), length(b.seq)) AS DOUBLE), 6) AS ident FROM shared JOIN f_seq a ON a.id = query JOIN f_seq b ON b.id = target WHERE 1 - levenshtein(a.seq, b.seq) / CAST(greatest(length(a.seq), length(b.seq)) AS DOUBLE) >= 0.7", "f_seq", more=f"gram AS MATERIALIZED (SELECT DISTINCT id, n, hash(substr(seq, i, {K})) AS g FROM (SELECT id, seq, length(seq) AS n, unnest(generate_series(1, length(seq) - {K - 1})) AS i FROM f_seq)), shared AS MATERIALIZED (SELECT a.id AS query, b.id AS target, count(*) AS n_shared FROM gram a JOIN gram b ON a.g = b.g AND a.id < b.id AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING count(*) >= 8)"))
+@query(sql(f"SELECT query, target, round(1 - {EDITS}, 6) AS ident FROM met JOIN f_seq a ON a.id = query JOIN f_seq b ON b.id = target WHERE 1 - {EDITS} >= 0.7", "f_seq", more=SHARED_LONG))
 def sim_join_text(t: Tables) -> DataFrame:
-    return simjoin.similar(cut(fx.sequences(t), "sequences"), k=K).withColumn("ident", F.round("ident", 6))
+    return simjoin.joined(cut(fx.sequences(t), "sequences"), short=SHORT, k=K).withColumn("ident", F.round("ident", 6))
 
 
 @query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 6) AS ident FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE) >= 0.6")

@@ -7,7 +7,7 @@ from graphfold.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"sim_join_text", "family_collapse", "greedy_incremental_cluster", "threshold_ladder_cluster"}
+SLOW = {"sim_join_text", "family_collapse", "threshold_ladder_cluster", "store_after_fold"}
 
 
 def canonical(rows, columns):
