@@ -68,5 +68,30 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SMALL).count() == 0
 
 
+def test_pipeline_on_an_odd_table(spark):
+    """Clashing column names, nulls in all columns, repeated rows, ties and a very long text go through every stage."""
+    import corpus_pipeline as pipeline
+
+    clashing = ["kept", "key", "rep", "bands", "base", "found", "gf_row", "gf_i", "lang_pred", "score", "words", "sig", "n_words", "symbols", "start", "ids"]
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rng = random.Random(3)
+    long_text = " ".join(rng.choice(["the", "and", "of", "thing", "other"]) + str(rng.randrange(10**5)) for _ in range(60_000))
+    first = base.where("lang = 'en'").orderBy("doc_id").limit(40).collect()
+    rows = [tuple(r) for r in base.collect()] + [(None, None, None, None, None), (None, first[0].text, None, None, 3), tuple(first[1]), (10**6, long_text, "en", "s", len(long_text)), (10**6 + 1, long_text, "en", "s", len(long_text)), (10**6 + 2, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, base.schema).withColumns({c: F.lit(c) for c in clashing})
+    names = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SMALL).cache()
+        assert after.columns == names, name
+        assert after.where(" or ".join(f"{c} <> '{c}'" for c in clashing)).count() == 0
+        if name != "secret scan":
+            assert after.select("doc_id", "text").exceptAll(docs.select("doc_id", "text")).count() == 0, name
+        docs = after
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert (10**6 in ids) + (10**6 + 1 in ids) <= 1 and len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+    packed = pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert {r.doc_id for r in packed} == set(ids)
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES) == list(range(1, 11))

@@ -598,3 +598,45 @@ def test_urls_ties_long_and_missing(spark):
     assert found[1].rule == "a.b.org" and found[None].verdict == "allow"  # of b.org/x and a.b.org, equally long, the one that sorts first
     assert found[1].path == "/x" + "y" * 100_000 and found[2].path == "/" + "é" * 50_000 and found[3].host == "sub." * 2000 + "c.org"
     assert found[2].rule == found[3].rule == "org"
+
+
+def test_near_duplicates_of_an_odd_table(spark, odd):
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    wanted = near_by_hand([(i, t) for i, t in rows if i is not None])
+    found = near.near_duplicates(odd).collect()
+    assert len(found) == len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None and r.doc_id != 4} == {i: w for i, w in wanted.items() if i != 4}
+    lost = [r for r in found if r.doc_id is None]
+    assert [(r.component_id, r.kept) for r in lost] == [(None, True)]
+    some = odd.where("doc_id in (1, 2, 3)")  # texts without a word are linked with nothing
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near.near_duplicates(some).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True)]
+
+
+def test_very_long_texts(spark):
+    """A text of 150,000 words and one of 200,000 letters without a space, against the libraries and plain Python."""
+    import sentencepiece
+
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10))) for _ in range(5000)]
+    many = " ".join(rng.choice(vocabulary) for _ in range(150_000))
+    unspaced = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(200_000))
+    rows = [(1, many, "en", "s", len(many)), (2, unspaced, "en", "s", len(unspaced)), (3, many + " end", "en", "s", len(many) + 4), (4, unspaced, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts = {r[0]: r[1] for r in rows}
+    bpe_path, word_path, piece_path = (vocabularies.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+    library = Tokenizer.from_file(bpe_path)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for r in codec.round_trip(docs, bpe_path).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(texts[r.doc_id].encode()))
+    model = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    unigram = Tokenizer(models.Unigram([(model.id_to_piece(i), model.get_score(i)) for i in range(model.vocab_size())], 0, True))
+    unigram.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
+    assert pairs(tokencount.token_counts(docs, piece_path), "n_tokens") == sorted(((i, len(unigram.encode(t).ids)) for i, t in texts.items()), key=str)
+    check_pieces(windows.pack_documents(docs, word_path).collect(), Tokenizer.from_file(word_path), {i: [t] for i, t in texts.items()})
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert pairs(quality.quality(docs), *names) == sorted(((i, *quality_by_hand(t)) for i, t in texts.items()), key=str)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near.near_duplicates(docs).collect()} == near_by_hand(list(texts.items()))
+    assert all(r.spans == "" for r in secrets.report(docs).collect())
+    fitted = langid.fit(spark.createDataFrame([(1, "one two three", "en"), (2, "eins zwei drei", "de")], "doc_id long, text string, lang string"), piece_path)
+    assert {r.doc_id: r.lang_pred for r in langid.identify(docs, fitted).collect()}.keys() == texts.keys()
