@@ -23,6 +23,8 @@ from graphfold.llm.wordtable import NumberTable, slabs, split
 from graphfold.plans.lineage import cut, drop
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: What parts the words of a text, which are looked up in bulk.
+NO_LETTERS = r"[^\p{L}\p{M}]+"
 UNDETERMINED = "und"
 #: Letters of a word at most in training, and in a text; longer runs are cut into parts, as where a script sets no spaces.
 LONGEST, LONGEST_RUN = 64, 4096
@@ -144,7 +146,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
 
 
 class Scorer(NumberTable):
-    """Log probabilities of texts under each language; those of white-space separated chunks are kept for reuse."""
+    """Log probabilities of texts under each language; those of runs of letters are kept for reuse."""
 
     def __init__(self, model: LanguageModel, keep: int = 40_000_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
@@ -153,7 +155,7 @@ class Scorer(NumberTable):
 
     def learn(self, chunks: list[str]) -> None:
         """Score chunks that are new: each run of letters in them is a word."""
-        runs = [[w[i : i + LONGEST_RUN] for w in LETTERS.findall(c) for i in range(0, len(w), LONGEST_RUN)] for c in chunks]
+        runs = [[c] if c.isalpha() and len(c) <= LONGEST_RUN else [w[i : i + LONGEST_RUN] for w in LETTERS.findall(c) for i in range(0, len(w), LONGEST_RUN)] for c in chunks]
         words = list(dict.fromkeys(w for r in runs for w in r))
         score = np.zeros((len(words), len(self.model.languages)))
         if words:
@@ -171,7 +173,7 @@ class Scorer(NumberTable):
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text its log probabilities, and whether it holds a letter."""
-        sums = [self.sums(*split(pc.replace_substring(pc.utf8_lower(slab), "\n", " "), " ")) for slab in slabs(texts)]
+        sums = [self.sums(*split(pc.replace_substring_regex(pc.utf8_lower(slab), NO_LETTERS, " "), " ")) for slab in slabs(texts)]
         total = np.concatenate(sums) if sums else np.zeros((0, self.width))
         return total[:, :-1], total[:, -1] > 0
 

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,21 @@ from graphfold.llm.common import published, resident
 from graphfold.llm.wordtable import IdTable, slabs, split
 
 #: Pre-tokens that are kept have so many characters at most, and are so many.
-PART, PARTS = 40, 100_000
+PART, PARTS = 40, 200_000
 #: No text that is cut at spaces in bulk holds this character.
 CUT = "\x00"
 #: The pre-tokens of the tokenizer that drops white space.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Up to this character, lower case and composition are the same in every version of Unicode.
 SETTLED = re.compile(r"[\x20-\u02af]*")
+#: ASCII marks that end most words; a run of these is one pre-token.
+ENDS = ".,;:!?)"
 
 
 class Encoder(IdTable):
     """Ids of texts as little-endian unsigned 32-bit integers, the end id after each, if there is one."""
 
-    def __init__(self, end: int | None = None, keep: int = 30_000_000) -> None:
+    def __init__(self, end: int | None = None, keep: int = 40_000_000) -> None:
         super().__init__(keep)
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
 
@@ -55,7 +58,7 @@ class WordEncoder(Encoder):
     distinct pre-token is encoded once by the library's model.
     """
 
-    def __init__(self, path: str, end: int, keep: int = 30_000_000) -> None:
+    def __init__(self, path: str, end: int, keep: int = 40_000_000) -> None:
         super().__init__(end, keep)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -66,37 +69,40 @@ class WordEncoder(Encoder):
         with open(path, encoding="utf-8") as file:
             self.special = tuple(t["content"] for t in json.load(file)["added_tokens"])
         self.letters = {b: x for b, x in byte_letters().items()}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
 
     def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         return split(pc.replace_substring(texts, "\n", " "), " ")
 
-    def token(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]
+    def part(self, word: str) -> bytes:
+        """The ids of a pre-token in lower case."""
+        found = self.known.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode())))]).tobytes()
+            if len(word) <= PART:
+                self.known[word] = found
+        return found
 
     def learn(self, words: list[str]) -> None:
-        known, out, odd = self.known, [], []
+        part, out, odd = self.part, [], []
         for i, word in enumerate(words):
+            if word.isascii():
+                lower = word.lower()
+                core = lower.rstrip(ENDS)
+                if core.isalpha():  # most words: letters, and marks after them
+                    out.append(part(core) + part(lower[len(core) :]) if len(core) < len(lower) else part(core))
+                    continue
             if SETTLED.fullmatch(word) and not (word and word[0] == "<" or "<|" in word):
                 plain = word if word.isascii() else unicodedata.normalize("NFC", word)
-                ids = []
-                for part in WORDS.findall(plain.lower()):
-                    found = known.get(part)
-                    if found is None:
-                        found = self.token(part)
-                        if len(part) <= PART:
-                            known[part] = found
-                    ids += found
-                out.append(ids)
+                out.append(b"".join(map(part, WORDS.findall(plain.lower()))))
             else:
                 odd.append(i)
-                out.append([])
+                out.append(b"")
         for i, found in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = found.ids
-        if len(known) > PARTS:
+            out[i] = array("I", found.ids).tobytes()
+        if len(self.known) > PARTS:
             self.known = {}
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        self.append(np.fromiter((x for ids in out for x in ids), np.uint32, int(counts.sum())), counts)
+        self.append(np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4)
 
 
 class ByteEncoder(Encoder):
@@ -128,7 +134,7 @@ class ByteEncoder(Encoder):
 class RankEncoder(ByteEncoder):
     """Of a file of byte-level ranks; special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, pattern: str, end: int, keep: int = 30_000_000) -> None:
+    def __init__(self, path: str, pattern: str, end: int, keep: int = 40_000_000) -> None:
         super().__init__(end, keep)
         import base64
 

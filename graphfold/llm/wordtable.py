@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slabs(texts: pa.Array, limit: int = 2_000_000) -> Iterator[pa.Array]:
+def slabs(texts: pa.Array, limit: int = 3_000_000) -> Iterator[pa.Array]:
     """A string array in slices of about so many bytes, an empty text for null."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not len(texts):
@@ -113,7 +113,7 @@ class IdTable(WordTable):
 
     weight = 6  # a byte is an id of four bytes at most
 
-    def __init__(self, keep: int = 30_000_000) -> None:
+    def __init__(self, keep: int = 40_000_000) -> None:
         super().__init__(keep)
         self.forget()
 
