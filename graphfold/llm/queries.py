@@ -68,7 +68,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces of sequences of 4096 ids at most."""
-    return windows.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return windows.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), table_bytes=150_000_000)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

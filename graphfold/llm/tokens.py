@@ -86,13 +86,11 @@ class WordEncoder(Encoder):
     def learn(self, words: list[str]) -> None:
         part, out, odd = self.part, [], []
         for i, word in enumerate(words):
-            if word.isascii():
-                lower = word.lower()
-                core = lower.rstrip(ENDS)
-                if core.isalpha():  # most words: letters, and marks after them
-                    out.append(part(core) + part(lower[len(core) :]) if len(core) < len(lower) else part(core))
-                    continue
-            if SETTLED.fullmatch(word) and not (word and word[0] == "<" or "<|" in word):
+            lower = word.lower()
+            core = lower.rstrip(ENDS)
+            if core.isalpha() and (word.isascii() or SETTLED.fullmatch(word)):  # most words: letters, and marks after them
+                out.append(part(core) + part(lower[len(core) :]) if len(core) < len(lower) else part(core))
+            elif SETTLED.fullmatch(word) and not (word and word[0] == "<" or "<|" in word):
                 plain = word if word.isascii() else unicodedata.normalize("NFC", word)
                 out.append(b"".join(map(part, WORDS.findall(plain.lower()))))
             else:

@@ -109,13 +109,14 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 250_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 250_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, table_bytes: int = 40_000_000) -> DataFrame:
     """Every document's ids and the end id, cut and laid into sequences: a row for each piece.
 
     Documents are packed in groups of about group_tokens as they lie in the input's partitions, so
     that nothing is shuffled and memory is bounded by a group and one document. A null or empty text is
     the end id alone; a null doc_id stays null; rows that repeat are packed as often as they come.
-    with_ids adds each piece's ids, little-endian unsigned 32-bit, as the binary column ids.
+    with_ids adds each piece's ids, little-endian unsigned 32-bit, as the binary column ids. table_bytes
+    bounds what a worker process keeps of words, see WordTable.
     """
 
     def make():
@@ -136,7 +137,7 @@ def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacit
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.binary()) for c in columns[7:]]
             return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(columns)])
 
-        return encoder(WordEncoder, vocabulary_path, end_id), lay
+        return encoder(WordEncoder, vocabulary_path, end_id, table_bytes), lay
 
     def run(batches):
         own, lay = make()
