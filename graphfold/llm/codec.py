@@ -21,7 +21,7 @@ SPECIAL = "a "
 class Codec(ByteEncoder):
     """Encodes and decodes whole texts as the tokenizers library does with a byte-level BPE file."""
 
-    def __init__(self, path: str, keep: int = 40_000_000) -> None:
+    def __init__(self, path: str, keep: int = 150_000_000) -> None:
         super().__init__(None, keep)
         self.vocabulary = Vocabulary(path)
         found = sorted(self.vocabulary.special, key=len, reverse=True)

@@ -63,7 +63,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int
 SEQUENCES = "sequence_id long, n_tokens int, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, doc_starts array<long>"
 
 
-def pack_sequences(df: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int = 4096, group_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_sequences(df: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int = 4096, group_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = 150_000_000) -> DataFrame:
     """A row for each sequence of packed ids; end_id ends each document and pads each sequence.
 
     input_ids is the sequence's row of the id matrix: capacity little-endian unsigned 32-bit ids.
@@ -71,11 +71,12 @@ def pack_sequences(df: DataFrame, ranks_path: str, pattern: str, end_id: int, ca
     ids cu_seqlens[i] up to cu_seqlens[i + 1], from place doc_starts[i] on of document doc_ids[i].
     Documents are packed in groups of about group_tokens as they lie in the input's partitions: nothing
     is shuffled, and memory is bounded by a group and one document. A null or empty text is end_id
-    alone; a null doc_id stays null; rows that repeat are packed as often as they come.
+    alone; a null doc_id stays null; rows that repeat are packed as often as they come. table_bytes bounds
+    what a worker process keeps of words, see WordTable.
     """
 
     def run(batches):
-        own, numbers, base = encoder(RankEncoder, ranks_path, pattern, end_id), iter(range(1 << 32)), TaskContext.get().partitionId() << 32
+        own, numbers, base = encoder(RankEncoder, ranks_path, pattern, end_id, table_bytes), iter(range(1 << 32)), TaskContext.get().partitionId() << 32
         places = np.arange(capacity, dtype="<u4")
 
         def lay(held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:

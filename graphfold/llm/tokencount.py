@@ -31,7 +31,7 @@ class Counter(NumberTable):
     into words whose counts add up. What stands between spaces is a row of the table.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]], keep: int = 40_000_000) -> None:
+    def __init__(self, pieces: list[tuple[str, float]], keep: int = 120_000_000) -> None:
         super().__init__(1, keep)
         self.pieces = [p for p, _ in pieces if "\n" not in p and MARK not in p[1:]]
         by = dict(pieces)

@@ -143,9 +143,8 @@ class RankEncoder(ByteEncoder):
         self.own = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def learn(self, words: list[str]) -> None:
-        out = [self.own.encode_ordinary(w) for w in words]
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        self.append(np.fromiter((x for ids in out for x in ids), np.uint32, int(counts.sum())), counts)
+        out = [array("I", self.own.encode_ordinary(w)).tobytes() for w in words]
+        self.append(np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4)
 
 
 def encoder(kind: type[Encoder], path: str, *args) -> Encoder:
