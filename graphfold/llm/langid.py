@@ -148,7 +148,7 @@ def improved(words: DataFrame, model: LanguageModel, prior: float = 0.5) -> Lang
 class Scorer(NumberTable):
     """Log probabilities of texts under each language; those of runs of letters are kept for reuse."""
 
-    def __init__(self, model: LanguageModel, keep: int = 40_000_000) -> None:
+    def __init__(self, model: LanguageModel, keep: int = 30_000_000) -> None:
         super().__init__(len(model.languages) + 1, keep)
         self.model = model
         self.matcher = PieceMatcher(model.pieces)

@@ -17,8 +17,8 @@ from graphfold.llm.bpe import CHUNKS, SPACE, byte_letters
 from graphfold.llm.common import published, resident
 from graphfold.llm.wordtable import IdTable, slabs, split
 
-#: Pre-tokens that are kept have so many characters at most, and are so many.
-PART, PARTS = 40, 200_000
+#: Pre-tokens that are kept have so many characters at most, and take so many bytes of the table's bound each.
+PART, PART_BYTES = 40, 250
 #: No text that is cut at spaces in bulk holds this character.
 CUT = "\x00"
 #: The pre-tokens of the tokenizer that drops white space.
@@ -98,7 +98,7 @@ class WordEncoder(Encoder):
                 out.append(b"")
         for i, found in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = array("I", found.ids).tobytes()
-        if len(self.known) > PARTS:
+        if len(self.known) * PART_BYTES > self.keep:
             self.known = {}
         self.append(np.frombuffer(b"".join(out), np.uint32), np.fromiter(map(len, out), np.int64, len(out)) // 4)
 

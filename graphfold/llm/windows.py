@@ -109,7 +109,7 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 250_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, table_bytes: int = 40_000_000) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary_path: str, end_id: int = 2, capacity: int = 4096, group_tokens: int = 250_000, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, table_bytes: int = 25_000_000) -> DataFrame:
     """Every document's ids and the end id, cut and laid into sequences: a row for each piece.
 
     Documents are packed in groups of about group_tokens as they lie in the input's partitions, so
