@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,21 +62,22 @@ class WordTable:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         sizes = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        new = [i for i, w in enumerate(distinct) if w not in self.place]
-        cost = lambda at: self.weight * int(sizes[at].sum()) + OVERHEAD * len(at)
-        if self.place and self.held + cost(new) > self.keep:
+        at = np.fromiter(map(self.place.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        cost = lambda: self.weight * int(sizes[new].sum()) + OVERHEAD * len(new)
+        if self.place and self.held + cost() > self.keep:
             self.place, self.held = {}, 0
             self.forget()
-            new = list(range(len(distinct)))
-        self.held += cost(new)
+            new = np.arange(len(distinct))
+        self.held += cost()
+        known, words = len(self.place), [distinct[i] for i in new.tolist()]
         ends = np.cumsum(sizes[new])
         cuts = np.unique(np.append(np.flatnonzero(np.diff(ends // PORTION)) + 1, len(new))).tolist()
         for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
             if a < b:
-                some = [distinct[i] for i in new[a:b]]
-                self.learn(some)
-                self.place.update(zip(some, range(len(self.place), len(self.place) + len(some)), strict=True))
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+                self.learn(words[a:b])
+                self.place.update(zip(words[a:b], range(known + a, known + b), strict=True))
+        at[new] = known + np.arange(len(new))
         return at[coded.indices.to_numpy()]
 
 
