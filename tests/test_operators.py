@@ -230,6 +230,30 @@ def test_complete_similarity_join(spark):
     assert rows(simjoin.complete(frame, frame).where("query < target"), "query", "target") == wanted
 
 
+@pytest.mark.parametrize("infix", [False, True])
+def test_blocks_score_each_pair_of_sequences_once(spark, monkeypatch, infix):
+    """Against all pairs by plain Python: repeated rows, an item of two blocks, nulls; the number of distances doesn't grow with copies."""
+    names = ["abcd", "bcda", "abcdx", "XXab", "zzzz", ""]
+    items = [(f"k{i % 3}", i, names[i * 7 % 6]) for i in range(60)] + [("k0", 1, names[1]), ("k1", 1, names[1]), ("k1", 0, names[0]), (None, 90, "abcd"), ("k0", 91, None)]
+    wanted = set()
+    for k, a, x in items:
+        for k2, b, y in items:
+            if k is not None and k == k2 and a < b and x is not None and y is not None:
+                s, t = (x, y) if len(x) <= len(y) else (y, x)
+                edits = sf.infix_distance(s, t, sf.WILDCARDS_PROTEIN) if s and infix else 0
+                ident = (0.0 if edits > 0.5 * len(s) else 1 - edits / max(1, len(s))) if infix else 1 - edits_by_table(x, y) / max(len(x), len(y), 1)
+                if ident >= 0.5:
+                    wanted.add((a, b, round(ident, 6)))
+    held, kept = {}, simjoin.cut
+    monkeypatch.setattr(simjoin, "cut", lambda df, label="step": held.setdefault(label, kept(df, label)))
+    found = simjoin.within_blocks(spark.createDataFrame(items, "block string, id long, seq string"), "block", 0.5, infix=infix, dna=False, digits=6)
+    assert rows(found) == sorted(wanted)
+    assert held["near"].count() <= len(names) ** 2
+    monkeypatch.undo()
+    once = simjoin.within_blocks(spark.createDataFrame(items[:60], "block string, id long, seq string"), "block", 0.5, infix=infix, dna=False)
+    assert not once._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")  # no shuffle of pairs
+
+
 def test_breadth_first_order(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5), (5, 4), (7, 8)], "u long, v long")
     found = graph.bfs_levels(edges, spark.createDataFrame([(1,), (7,), (9,)], "source long"))
